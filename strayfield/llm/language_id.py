@@ -133,11 +133,10 @@ def fit(rows: DataFrame, per_lang: int = 400) -> Hierarchy | None:
     return Hierarchy(np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in found]), [r.lang for r in found])
 
 
-def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
-    """One row (doc_id, held_out, lang_pred, score) per row of ``docs``, from its whole text alone.
+def with_language(docs: DataFrame, model: Hierarchy | None, carry_text: bool = True) -> DataFrame:
+    """``docs`` with lang_pred and score, from the whole column ``text`` alone.
 
-    A null text, or one without a letter, is ``und`` with score 0, and so is every text if there was nothing to learn
-    from. Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text if there was nothing to learn from.
     """
 
     def predict(batches):
@@ -150,12 +149,27 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
                 if at:
                     for i, got in zip(at, model.predict(np.stack([features(texts[i]) for i in at])), strict=True):
                         out[i] = got
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                columns = [*zip(names, part.columns, strict=True), ("lang_pred", pa.array([x for x, _ in out], pa.string())), ("score", pa.array([x for _, x in out], pa.float64()))]
+                yield pa.RecordBatch.from_arrays([c for n, c in columns if n in kept], names=[n for n, _ in columns if n in kept])
+
+    names = docs.columns
+    kept = [*(n for n in names if carry_text or n != "text"), "lang_pred", "score"]
+    fields = {f.name: f for f in docs.schema}
+    schema = ", ".join(f"`{n}` {fields[n].dataType.simpleString()}" if n in fields else f"{n} {'string' if n == 'lang_pred' else 'double'}" for n in kept)
+    return docs.mapInArrow(predict, schema)
+
+
+def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
+    """One row (doc_id, held_out, lang_pred, score) per row of ``docs``. Repeated rows give repeated results; an empty table gives an empty
+    result; other columns are ignored."""
+    return with_language(docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text")), model, carry_text=False)
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+def learned(docs: DataFrame, per_lang: int = 400) -> Hierarchy | None:
+    """A model of the labelled rows of ``docs`` that aren't held out."""
+    return fit(docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_lang)
 
 
 def language_id(docs: DataFrame, per_lang: int = 400) -> DataFrame:
     """Learn from the rows that aren't held out, then identify all."""
-    return identify(docs, fit(docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_lang))
+    return identify(docs, learned(docs, per_lang))
