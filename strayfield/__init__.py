@@ -1,0 +1 @@
+"""Lost-and-found animal intake analytics on Spark DataFrames."""
