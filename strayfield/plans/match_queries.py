@@ -12,7 +12,7 @@ from .views import NOW_TEXT
 
 
 def km(a: str, b: str, c: str, d: str) -> str:
-    return f"(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+    return f"(2 * 6371.0 * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
 
 
 def days(a: str, b: str) -> str:
@@ -28,8 +28,8 @@ ATTR = (
     "(coalesce(CASE WHEN i.size IS NOT NULL AND r.size IS NOT NULL THEN CAST(i.size = r.size AS INT) END, 0) + coalesce(CASE WHEN len(i.colors) > 0 AND len(r.colors) > 0 THEN CAST(list_has_any([lower(x) for x in i.colors], [lower(x) for x in r.colors]) AS INT) END, 0))"
     " / CAST(CAST(i.size IS NOT NULL AND r.size IS NOT NULL AS INT) + CAST(len(i.colors) > 0 AND len(r.colors) > 0 AS INT) AS DOUBLE) ELSE 0.5 END)"
 )
-GEO = f"coalesce(least(1.0, greatest(0.0, exp(-{KM} / (80 * ln(2))))), 0.5)"
-REC = f"coalesce(least(1.0, greatest(0.0, exp(-{DAYS} / (30 * ln(2))))), 0.5)"
+GEO = f"CASE WHEN {KM} IS NULL THEN 0.5::DOUBLE ELSE exp(-{KM} / (80 * ln(2))) END"
+REC = f"CASE WHEN {DAYS} IS NULL THEN 0.5::DOUBLE ELSE exp(-{DAYS} / (30 * ln(2))) END"
 VIS = "CASE WHEN (i.event_id + r.n) % 3 = 0 THEN CAST((i.event_id * 7 + r.n * 13) % 1000 AS DOUBLE) / 1000 END"
 FUSED = "least(1.0, greatest(0.0, CASE WHEN vis IS NOT NULL THEN 0.4 * vis + 0.3 * attr + 0.15 * geo + 0.15 * rec ELSE 0.7 * attr + 0.15 * geo + 0.15 * rec END))"
 PAIRS = f"SELECT i.canonical_id, i.intake_type, i.availability, i.intake_date, r.report_id, CAST({VIS} AS DOUBLE) AS vis, CAST({ATTR} AS DOUBLE) AS attr, {GEO} AS geo, {REC} AS rec FROM v_intake i JOIN (SELECT * FROM v_lost_report WHERE status = 'active') r ON i.species = r.species WHERE {PASSES}"
