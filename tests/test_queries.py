@@ -1,11 +1,13 @@
 """Every registered query against its DuckDB SQL on the smallest tables."""
 
+import os
+
 import pytest
 from conftest import DATA, rows
 
 from strayfield.plans import ORACLES, QUERIES
 
-SF = "sf0.001"
+SF = os.environ.get("TEST_SF", "sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
