@@ -44,20 +44,24 @@ def kept(length: int, gram: int) -> Column:
     return (F.greatest(*around) if len(around) > 1 else around[0]) == F.col("_fp")
 
 
-def context(words: str, length: int, gram: int) -> Column:
-    """The words that windows around the gram at ``_p`` can have, lower-cased; null beyond the text."""
-    gram = min(gram, length)
-    return F.transform(F.sequence(F.col("_p") - (length - gram), F.col("_p") + (length - 1)), lambda j: lower_ascii(F.get(words, j)))
+def with_context(df: DataFrame, to: str, length: int, gram: int, keep: list[str]) -> DataFrame:
+    """``keep`` and ``to``: the words that windows around the gram at ``_p`` can have, lower-cased; null before the text.
+
+    The words are sliced by a generator of one row: it stays inside generated code and so ends the whole word array's way there.
+    """
+    side = length - min(gram, length)
+    start = F.greatest(F.lit(0), F.col("_p") - side)
+    near = df.select(*keep, F.greatest(F.lit(0), F.lit(side) - F.col("_p")).alias("_pad"), F.explode(F.array(F.slice("_words", start + 1, F.greatest(F.lit(0), F.col("_p") + length - start)))).alias("_near"))
+    words = F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("_pad")), F.transform("_near", lower_ascii))
+    return near.select(*keep, words.alias(to))
 
 
 def item_prints(items: DataFrame, length: int, gram: int, window: int) -> DataFrame:
     """(_fp, item_id, _there) of the items of ``length`` words, or of at least so many if that is ``window``."""
     n = F.size("_words")
     own = items.where(n >= length if length == window else n == length)
-    return (
-        fingerprinted(own, length, gram).select("item_id", "_words", "_lows", F.posexplode("_grams").alias("_p", "_fp")).where(kept(length, gram))
-        .select("_fp", "item_id", context("_words", length, gram).alias("_there")).distinct()
-    )
+    prints = fingerprinted(own, length, gram).select("item_id", "_words", "_lows", F.posexplode("_grams").alias("_p", "_fp")).where(kept(length, gram))
+    return with_context(prints, "_there", length, gram, ["_fp", "item_id"]).distinct()
 
 
 def run_around(length: int, gram: int) -> tuple[Column, Column]:
@@ -94,10 +98,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
         there = F.broadcast(prints) if few else prints
         n = fingerprinted(base, length, gram).select("doc_id", "_row", "_k", "_words", "_grams", "_lows", F.explode(F.sequence(F.lit(-1), F.size("_grams") - 1)).alias("_p"))
         n = n.withColumn("_fp", F.get("_grams", F.col("_p"))).where((F.col("_p") == -1) | kept(length, gram))
-        n = n.select("doc_id", "_row", "_k", F.size("_words").alias("_n"), "_p", "_fp", *(["_words"] if few else [context("_words", length, gram).alias("_here")]))
+        n = n.select("doc_id", "_row", "_k", F.size("_words").alias("_n"), "_p", "_fp", "_words")
+        own = ["doc_id", "_row", "_k", "_n", "_p", "_fp"]
+        n = n if few else with_context(n, "_here", length, gram, own)
         j = n.join(there, "_fp", "left").where((F.col("_p") == -1) | F.col("item_id").isNotNull())
-        if few:
-            j = j.select("doc_id", "_row", "_k", "_n", "_p", "item_id", "_there", F.when(F.col("_p") >= 0, context("_words", length, gram)).alias("_here"))
+        j = with_context(j, "_here", length, gram, [*own, "item_id", "_there"]) if few else j
         first, end = run_around(length, gram)
         j = j.withColumns({"_first": F.when(F.col("_p") >= 0, first), "_end": end}).where((F.col("_p") == -1) | F.col("_first").isNotNull())
         found = j.select("doc_id", "_row", "_k", "_n", F.when(F.col("_p") >= 0, F.struct(F.col("_first").alias("first"), F.col("_end").alias("end"))).alias("_span"), F.when(F.col("_p") >= 0, F.col("item_id")).alias("_item"))
