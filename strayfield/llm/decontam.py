@@ -71,7 +71,7 @@ def run_around(length: int, gram: int) -> tuple[Column, Column]:
     whole = ~F.array_contains(F.slice(same, side + 1, gram), False)
     if not side:
         return F.when(whole, F.col("_p")), F.col("_p") + gram
-    stop = lambda part: F.coalesce(F.nullif(F.array_position(part, False), F.lit(0)) - 1, F.lit(side)).cast("int")
+    stop = lambda part: F.coalesce(F.nullif(F.array_position(part, False), F.lit(0)) - 1, F.size(part)).cast("int")
     left, right = stop(F.reverse(F.slice(same, 1, side))), stop(F.slice(same, length + 1, side))
     return F.when(whole & (left + right + gram >= length), F.col("_p") - left), F.col("_p") + gram + right
 
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
         found = j.select("doc_id", "_row", "_k", "_n", F.when(F.col("_p") >= 0, F.struct(F.col("_first").alias("first"), F.col("_end").alias("end"))).alias("_span"), F.when(F.col("_p") >= 0, F.col("item_id")).alias("_item"))
         hits = found if hits is None else hits.unionAll(found.where("_span is not null"))
     per_doc = hits.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("_k").alias("text_hash"), F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"), F.array_sort(F.collect_set("_item")).alias("items"))
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["upto"], s["first"]))).alias("n")), lambda a: a["n"])
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["upto"], s["first"]))).cast("long").alias("n")), lambda a: a["n"])
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return per_doc.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "items", "spans", "text_hash")
 

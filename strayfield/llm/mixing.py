@@ -53,7 +53,7 @@ def water_level(sizes: list[int], weights: list[float], most: float) -> list[flo
         by = left / sum(weights[i] for i in free)
         over = {i for i in free if by * weights[i] > most * sizes[i]}
         for i in over or free:
-            targets[i] = most * sizes[i] if over else by * weights[i]
+            targets[i] = float(most * sizes[i]) if over else by * weights[i]
         left -= sum(targets[i] for i in over)
         free = free - over if over else set()
     return targets
