@@ -29,24 +29,21 @@ class Dictionaries:
         return {"raw": self.raw, "ready": None}
 
     def signals(self, text: str | None) -> np.ndarray:
-        """Of the whole text: difference over length, difference over the sizes' sum, ratio, its square, log length, 1."""
+        """Of the whole text: the difference of the sizes over its length and over their sum, the ratio to its length and that squared, 1.
+
+        A frame's fixed bytes don't count, and a short text's difference is drawn towards none.
+        """
         if self.ready is None:
             self.ready = []
             for d in self.raw:
                 own = zstandard.ZstdCompressionDict(d)
                 own.precompute_compress(level=LEVEL)
-                self.ready.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False))
+                zipper = zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False)
+                self.ready.append((zipper, len(zipper.compress(b""))))
         raw = (text or "").encode("utf-8", "replace")
-        good = bad = 0
-        g, b = self.ready
-        for k in range(0, len(raw), CHUNK):
-            chunk = raw[k : k + CHUNK]
-            good += len(g.compress(chunk))
-            bad += len(b.compress(chunk))
-        n = max(1, len(raw))
-        ratio = min(good, bad) / n
-        d, e = (bad - good) / n, (bad - good) / max(1, bad + good)
-        return np.array([d, e, ratio, ratio * ratio, np.log1p(len(raw)) / 10, 1.0])
+        good, bad = (sum(max(1, len(z.compress(raw[k : k + CHUNK])) - fixed) for k in range(0, len(raw), CHUNK)) for z, fixed in self.ready)
+        ratio = min(good, bad) / (len(raw) + 16)
+        return np.array([(bad - good) / (len(raw) + 64), (bad - good) / (bad + good + 32), ratio, ratio * ratio, 1.0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
@@ -72,14 +69,14 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int) -> DataFrame:
-    """About ``per_class`` rows (text, quality) of each label, picked by a hash of the id, of texts of up to ``most_chars``."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int) -> tuple[DataFrame, dict[int, int]]:
+    """About ``per_class`` rows (text, quality) of each label, picked by a hash of the id, of texts of up to ``most_chars``; and how many rows have each label."""
     marks = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     n = {r.quality: r.n for r in marks.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("quality") == k, F.lit(min(1.0, 1.1 * per_class / v))) for k, v in sorted(n.items())], F.lit(0.0))
     marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text").between(1, most_chars))
-    return texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality").limit(4 * per_class)  # about 2 x per_class rows are broadcast
+    return texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality").limit(4 * per_class), n  # about 2 x per_class rows are broadcast
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_chars: int = 20_000, dictionary: int = 65_536) -> QualityModel | None:
@@ -87,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_chars: i
 
     None if either label is missing among them.
     """
-    rows = sorted(sample(docs, labels, per_class, most_chars).collect(), key=lambda r: (r.doc_id, r.text))
+    picked, n = sample(docs, labels, per_class, most_chars)
+    rows = sorted(picked.collect(), key=lambda r: (r.doc_id, r.text))
     half = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, half.values())) < 2:
         return None
@@ -104,7 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_chars: i
     x = np.stack([own.signals(t) for q in (0, 1) for t in half[q][1::2]])
     mean, scale = x.mean(0), x.std(0)
     mean[-1], scale = 0, np.where(scale < 1e-9, 1, scale)
-    return QualityModel(own, mean, scale, logistic((x - mean) / scale, y))
+    weights = logistic((x - mean) / scale, y)
+    weights[-1] += np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))  # from the sample's share of good texts to the labels'
+    return QualityModel(own, mean, scale, weights)
 
 
 def classify(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7) -> DataFrame:
