@@ -4,17 +4,17 @@ Two small collections of half keys are made, each half key from a few minhashes.
 collection, so 10 + 10 half keys give 100 tables, and the minhashes needed grow with the square root of the tables. Documents that share
 a table key are candidates. Candidates are confirmed on their full shingle sets; components of confirmed links are the groups.
 
-Documents with equal sets are one node from the start. In a bucket of a table, every node is first compared with the bucket's smallest
-one alone, of all its buckets the smallest; buckets in which the components found so far are still several have all their pairs
-across components compared. So a group of near copies costs about a comparison per member, and no link between buckets' members that
-could join two components is left out.
+Documents with equal sets are one node from the start. Every node is first compared with a few centres alone: each bucket's node that
+meets the most others. Buckets in which the components found so far are still several then have all their pairs across
+components compared, but for those whose minhashes agree too rarely. So a group of copies of one text costs a few comparisons per
+member, and no link between buckets' members that could join two components is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import persisted
@@ -58,20 +58,29 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(x)
 
 
+def drawn(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed).integers(0, 1 << 63, (2, n), dtype=np.int64).astype(U)
+    return (draw[0] << U(1)) | U(1), draw[1]
+
+
+def lowest(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minhash of each function a x + b."""
+    low = np.full(len(a), U(0xFFFFFFFFFFFFFFFF))
+    step = max(1, 200_000 // len(a))
+    for k in range(0, len(shingles), step):
+        low = np.minimum(low, (shingles[None, k : k + step] * a[:, None] + b[:, None]).min(1))
+    return low
+
+
 class Tables:
     """``sides`` half keys in each of two collections, of ``rows`` minhashes each."""
 
     def __init__(self, sides: int, rows: int, seed: int = 4):
         self.sides, self.rows = sides, rows
-        draw = np.random.default_rng(seed).integers(0, 1 << 63, (2, 2 * sides * rows), dtype=np.int64).astype(U)
-        self.a, self.b = (draw[0] << U(1)) | U(1), draw[1]
+        self.a, self.b = drawn(2 * sides * rows, seed)
 
     def half_keys(self, shingles: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.a), U(0xFFFFFFFFFFFFFFFF))
-        for k in range(0, len(shingles), 2048):
-            part = shingles[k : k + 2048]
-            low = np.minimum(low, (part[None, :] * self.a[:, None] + self.b[:, None]).min(1))
-        low = low.reshape(2 * self.sides, self.rows)
+        low = lowest(shingles, self.a, self.b).reshape(2 * self.sides, self.rows)
         x = mixed(low[:, 0])
         for j in range(1, self.rows):
             x = mixed(x * U(0x9E3779B97F4A7C15) + low[:, j])
@@ -125,22 +134,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, broadc
     return pairs.join(one, "a").join(two, "b").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has ``rows`` rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def components(edges: DataFrame, rounds: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
     """(node, component) of every node with an edge (a, b): the smallest node reachable. Smallest labels spread, and labels' labels are taken, until nothing changes."""
-    edges = persisted(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "neardup-edges")
-    labels = persisted(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "neardup-labels")
+    edges = persisted(edges.select("a", "b").union(edges.select("b", "a")), "neardup-edges")
+    labels = persisted(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "neardup-labels")
+    few = labels.count() <= broadcast_rows
+    hint = F.broadcast if few else (lambda d: d)
     for _ in range(rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("_of")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_of").alias("_near"))
-        spread = labels.join(near, "node", "left").select("node", "component", F.least("component", "_near").alias("_new"))
+        own = labels.select("node", "component", F.col("component").alias("_old"))
+        near = edges.join(hint(labels.withColumnRenamed("node", "b")), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast(labels.schema["node"].dataType).alias("_old"))
+        spread = near.unionByName(own).groupBy("node").agg(F.min("component").alias("_new"), F.max("_old").alias("_old"))
         jump = labels.select(F.col("node").alias("_new"), F.col("component").alias("_far"))
-        new = persisted(spread.join(jump, "_new", "left").select("node", F.least("_new", "_far").alias("component"), (F.least("_new", "_far") != F.col("component")).alias("_changed")), "neardup-labels")
+        new = persisted(spread.join(hint(jump), "_new", "left").select("node", F.least("_new", "_far").alias("component"), (F.least("_new", "_far") != F.col("_old")).alias("_changed")), "neardup-labels")
         labels = new.select("node", "component")
         if not new.where("_changed").limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: int = 10, rows: int = 3) -> DataFrame:
+def signed(docs: DataFrame, ids: DataFrame, size: int, width: int = 1024) -> DataFrame:
+    """(node, _bits): one bit of each of ``width`` more minhashes, of the documents in ``ids`` (node)."""
+    a, b = drawn(width, 41)
+    own = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("string").alias("text")).join(small(ids, 500_000), "node", "left_semi")
+
+    def sign(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                low = [mixed(lowest(shingle_set(t, size), a, b)) & U(1) for t in part.column("text").to_pylist()]
+                bits = [np.packbits(x.astype(np.uint8)).view(np.int64) for x in low]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(bits, pa.list_(pa.int64()))], names=["node", "_bits"])
+
+    return own.mapInArrow(sign, f"node {docs.schema['doc_id'].dataType.simpleString()}, _bits array<bigint>")
+
+
+def worth_confirming(width: int, sides: int, percent: int) -> Column:
+    """Of a pair met in a bucket: sizes allow it, it hasn't met in an earlier table, and its bits agree as often as those of a pair at the limit, less
+    four standard deviations (3 in 100,000 such pairs agree less often)."""
+    differ = sum((F.bit_count(F.get("_bitsa", k).bitwiseXOR(F.get("_bitsb", k))) for k in range(1, width // 64)), F.bit_count(F.get("_bitsa", 0).bitwiseXOR(F.get("_bitsb", 0))))
+    p = (1 + percent / 100) / 2
+    most = int(width - (width * p - 4 * (width * p * (1 - p)) ** 0.5))
+    t = F.col("_ta")
+    row, column = F.floor(t / sides), t % sides
+    earlier = F.lit(False)
+    for k in range(sides):
+        earlier = earlier | ((F.lit(k) < row) & (F.get("_halfa", k) == F.get("_halfb", k))) | ((F.lit(k) < column) & (F.get("_halfa", sides + k) == F.get("_halfb", sides + k)))
+    sizes = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent
+    return (F.col("a") < F.col("b")) & (F.col("_ofa") != F.col("_ofb")) & sizes & (differ <= most) & ~earlier
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: int = 10, rows: int = 3, stars: int = 3) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
     A document's set is its distinct ``size``-word shingles. Documents are linked if 100 * intersection >= ``percent`` * union;
@@ -159,21 +207,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: in
     nodes = persisted(nodes, "neardup-nodes")
 
     t, s = F.col("_t"), F.lit(sides)
-    keyed = nodes.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(sides * sides - 1)))).select("node", "n", F.xxhash64(t, F.get("_half", F.floor(t / s).cast("int")), F.get("_half", s + t % s)).alias("key"))
-    leads = persisted(keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("_c")).where("_c > 1").select("key", "lead"), "neardup-leads")
-    members = persisted(keyed.join(leads, "key"), "neardup-members")
-
-    first = persisted(members.where("node <> lead").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "neardup-pairs")
+    # the table's number is the key's last seven bits
+    hashed = F.xxhash64(t, F.get("_half", F.floor(t / s).cast("int")), F.get("_half", s + t % s)).bitwiseAND(-128).bitwiseOR(t.cast("bigint"))
+    keyed = nodes.select("node", "_half", F.explode(F.sequence(F.lit(0), F.lit(sides * sides - 1))).alias("_t")).select("node", hashed.alias("key"))
+    sizes = persisted(keyed.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1"), "neardup-buckets")
+    members = persisted(keyed.join(sizes, "key"), "neardup-members")
+
+    # a node's weight: how many it meets in its buckets; the text that others were copied from meets the most
+    weights = members.groupBy("node").agg(F.sum(F.col("_c") - 1).alias("_w"))
+    weighed = persisted(members.join(weights, "node").select("key", "node", (F.shiftleft("_w", 16) + F.pmod(F.xxhash64("node"), F.lit(1 << 16))).alias("_w")), "neardup-weighed")
+    leads = weighed.groupBy("key").agg(F.max_by("node", "_w").alias("lead"), F.max("_w").alias("_lw"))
+    met = weighed.join(leads, "key").where("node <> lead").groupBy("node", "lead").agg(F.max("_lw").alias("_lw"))
+    best = met.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy(F.col("_lw").desc(), "lead"))).where(F.col("_n") <= stars)
+    first = persisted(best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "neardup-pairs")
     links = persisted(confirmed(first, docs, size, percent), "neardup-links")
     labels = components(links)
 
-    of = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("of"))
-    split = of.groupBy("key").agg(F.min("of").alias("_low"), F.max("of").alias("_high")).where("_low <> _high").select("key")
-    open_ = persisted(of.join(split, "key", "left_semi"), "neardup-open")
-    x, y = (open_.select("key", F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("of").alias(f"_of{c}")) for c in "ab")
-    alike = (F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent) & (F.col("a") < F.col("b")) & (F.col("_ofa") != F.col("_ofb"))
-    rest = persisted(x.join(y, "key").where(alike).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "neardup-pairs")
-    labels = components(links.union(confirmed(rest, docs, size, percent)))
+    of = members.join(small(labels, 500_000), "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
+    split = persisted(of.groupBy("key").agg(F.min("of").alias("_low"), F.max("of").alias("_high")).where("_low <> _high").select("key"), "neardup-split")
+    open_ = persisted(of.join(small(split, 500_000), "key", "left_semi"), "neardup-open")
+    bits = signed(docs, open_.select("node").distinct(), size)
+    about = nodes.select("node", "n", F.transform("_half", lambda h: F.hash(h)).alias("_half")).join(bits, "node")
+    about = persisted(about.dropDuplicates(["node", "n", "_half"]), "neardup-signed")
+    side = open_.join(small(about, 100_000), "node")
+    x, y = (side.select("key", F.col("node").alias(c), F.col("of").alias(f"_of{c}"), F.col("key").bitwiseAND(127).alias(f"_t{c}"), *[F.col(k).alias(f"{v}{c}") for k, v in (("n", "_n"), ("_half", "_half"), ("_bits", "_bits"))]) for c in "ab")
+    rest = x.join(y, (x["key"] == y["key"]) & worth_confirming(1024, sides, percent)).select("a", "b").distinct()
+    rest = persisted(rest.join(first, ["a", "b"], "left_anti"), "neardup-pairs")
+    more = persisted(confirmed(rest, docs, size, percent), "neardup-links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
 
     groups = persisted(same.join(labels, same["_node"] == labels["node"], "left").select("_s1", "_s2", F.coalesce("component", "_node").alias("_group")), "neardup-groups")
     groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
