@@ -146,12 +146,14 @@ def federated_sides(t):
     return v.where("intake_type = 'stray'").select(*cols), v.where("intake_type = 'found_report'").select(*cols)
 
 
-FED = f"""WITH s AS (SELECT event_id AS s_pos, * FROM v_intake WHERE intake_type = 'stray'), f AS (SELECT event_id AS f_pos, * FROM v_intake WHERE intake_type = 'found_report')
-SELECT s_pos, f_pos FROM s JOIN f ON s.species = f.species WHERE ({days('s.intake_date', 'f.intake_date')} IS NULL OR {days('s.intake_date', 'f.intake_date')} <= 7)
-AND ({km('s.lat', 's.lon', 'f.lat', 'f.lon')} IS NULL OR {km('s.lat', 's.lon', 'f.lat', 'f.lon')} <= 10) AND (len(s.photos) = 0 OR len(f.photos) = 0 OR s.photos[1] = f.photos[1])"""
+HASH = "list_reduce([CAST(ascii(x) AS HUGEINT) for x in string_split(photos[1], '')], lambda h, c: (xor(h, c) * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT), CAST(14695981039346656037 AS HUGEINT))"
+FED = f"""WITH h AS (SELECT event_id, species, intake_date, lat, lon, intake_type, CASE WHEN len(photos) > 0 THEN {HASH} END AS hash FROM v_intake WHERE intake_type IN ('stray', 'found_report')),
+s AS (SELECT * FROM h WHERE intake_type = 'stray'), f AS (SELECT * FROM h WHERE intake_type = 'found_report')
+SELECT s.event_id AS s_pos, f.event_id AS f_pos FROM s JOIN f ON s.species = f.species WHERE ({days('s.intake_date', 'f.intake_date')} IS NULL OR {days('s.intake_date', 'f.intake_date')} <= 7)
+AND ({km('s.lat', 's.lon', 'f.lat', 'f.lon')} IS NULL OR {km('s.lat', 's.lon', 'f.lat', 'f.lon')} <= 10) AND (s.hash IS NULL OR f.hash IS NULL OR bit_count(xor(s.hash, f.hash)) / CAST(64 AS DOUBLE) <= 0.15)"""
 
 
-@query()
+@query(FED)
 def federated_candidates(t):
     return match.federated_pairs(*federated_sides(t))
 
@@ -160,7 +162,7 @@ def federated_candidates(t):
 def federated_merge(t):
     """Shelter records with the one found report that each took, in the order of the reports."""
     shelter, found = federated_sides(t)
-    took = match.one_to_one(match.federated_pairs(shelter, found), lambda d: d.checkpoint())
+    took = match.one_to_one(match.federated_pairs(shelter, found))
     named = took.join(found.select(F.col("pos").alias("f_pos"), F.col("canonical_id").alias("federated_id")), "f_pos")
     return shelter.join(named, shelter["pos"] == named["s_pos"], "left").select("canonical_id", "federated_id")
 

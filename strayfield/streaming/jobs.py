@@ -68,3 +68,27 @@ def alert_sink(folder: str, reports: DataFrame, threshold: float = 0.8):
         fresh.withColumn("outcome", F.lit("Sent")).select("report_id", "candidate_id", "outcome").write.mode("append").parquet(folder)
 
     return sink
+
+
+def ingest_sink(folder: str):
+    """A foreachBatch sink that keeps the canonical store: each batch makes the next version of it and a part of the change feed.
+
+    ``folder/store/v=N`` is the store after N batches, ``folder/events/epoch=N`` what batch N changed. Both are written anew if a batch runs
+    again, from the version before it, so a retry changes nothing.
+    """
+    from ..operators.store import change_events, last_of_batch, upsert
+
+    schema = "key string, species string, availability string, event_id bigint, created_at timestamp, absent_count int, source_name string, source_animal_id string, canonical_id string"
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.schema(schema).parquet(f"{folder}/store/v={epoch}") if epoch else spark.createDataFrame([], schema)
+        events = change_events(batch, old.select("source_name", "source_animal_id", "canonical_id"))
+        changed = events.select("canonical_id", F.col("resolved_id"), "kind", "source_name", "source_animal_id", "event_id")
+        changed.write.mode("overwrite").parquet(f"{folder}/events/epoch={epoch}")
+        first = Window.partitionBy("source_name", "source_animal_id")
+        ids = events.where("source_animal_id is not null").withColumn("_id", F.min_by("resolved_id", "event_id").over(first))
+        last = last_of_batch(ids).select(F.concat_ws("/", "source_name", "source_animal_id").alias("key"), "species", "availability", "event_id", F.col("last_seen").cast("timestamp").alias("created_at"), F.lit(0).alias("absent_count"), "source_name", "source_animal_id", F.col("_id").alias("canonical_id"))
+        upsert(old, last, "key").select(*[f.name for f in old.schema]).write.mode("overwrite").parquet(f"{folder}/store/v={epoch + 1}")
+
+    return sink

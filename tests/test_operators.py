@@ -245,3 +245,16 @@ def test_ticks_close_when_the_watermark_passes(spark, tmp_path):
     batch = {(r.source_name, str(r.tick)): r.total for r in jobs.ticks(d).collect()}
     closed = {(r.source_name, str(r.tick)): r.total for r in got.collect()}
     assert closed and all(batch[k] == n for k, n in closed.items())
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_ingest_gives_one_store_however_it_is_cut(spark, tmp_path, parts):
+    path, d = events_dir(spark, tmp_path, parts)
+    folder = str(tmp_path / "ingest")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream.writeStream.foreachBatch(jobs.ingest_sink(folder)).option("checkpointLocation", folder + "-c").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/store/v={parts}").select("source_name", "source_animal_id", "event_id", "canonical_id").collect()
+    keyed = d.where("source_animal_id is not null")
+    want = {(r.source_name, r.source_animal_id): r.e for r in keyed.groupBy("source_name", "source_animal_id").agg(F.max("event_id").alias("e")).collect()}
+    assert {(r.source_name, r.source_animal_id): r.event_id for r in got} == want and len({r.canonical_id for r in got}) == len(got)
+    assert spark.read.parquet(f"{folder}/events").count() == d.count()
