@@ -113,9 +113,11 @@ def neighbours(docs: DataFrame, rule: Disclosure) -> DataFrame:
 
 def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), broadcast_words: int = 100_000) -> DataFrame:  # noqa: B008
     """(word, entity, posterior, bits) of the words that disclose an entity, from counts over all documents."""
-    near = neighbours(docs, rule)
+    near = persisted(neighbours(docs, rule), "pii-near")
     pairs = near.groupBy("entity", "word").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_row").alias("both")).where(F.col("contexts") >= rule.contexts)
-    pairs = persisted(pairs, "pii-pairs")
+    # a word stands in at least as many documents as it stands in near any entity: what that alone rules out needn't be counted over all
+    beside = near.groupBy("word").agg(F.countDistinct("_row").alias("_beside"))
+    pairs = persisted(pairs.join(beside, "word").where(F.col("both") >= rule.posterior * F.col("_beside")).drop("_beside"), "pii-pairs")
     words = pairs.select("word").distinct()
     n_words = words.limit(broadcast_words + 1).count()
     if not n_words:
@@ -130,10 +132,10 @@ def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), broadcast_words
     return told.where((F.col("posterior") >= rule.posterior) & (F.col("bits") >= rule.bits))
 
 
-def protected(docs: DataFrame, rule: Disclosure = Disclosure(), block: int = 100_000) -> DataFrame:  # noqa: B008
+def protected(docs: DataFrame, rule: Disclosure = Disclosure(), block: int = 100_000, carry_text: bool = True) -> DataFrame:  # noqa: B008
     """``docs`` with ``_spans``: the pattern matches, and the disclosing words outside of them (kind ``term``).
 
-    ``docs`` needs a text column only; its others are kept. Disclosing words are broadcast in blocks of ``block``.
+    ``docs`` needs a text column only; its others are kept, and the text itself if ``carry_text``. Disclosing words are broadcast in blocks of ``block``.
     """
     terms = persisted(disclosing(docs, rule).groupBy("word").agg(F.max("bits").alias("bits")), "pii-terms")
     n = terms.count()
@@ -141,7 +143,7 @@ def protected(docs: DataFrame, rule: Disclosure = Disclosure(), block: int = 100
     if not n:
         return d
     blocks = -(-n // block)
-    kept = d.columns
+    kept = [c for c in d.columns if carry_text or c != "text"]
     d = d.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_words": F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), "_gaps": F.split("text", TERM, -1)})
     d = d.select(F.struct(*kept).alias("_doc"), "_row", "_words", "_gaps", F.explode(F.sequence(F.lit(-1), F.size("_words") - 1)).alias("_i")).withColumn("_word", F.lower(F.get("_words", F.col("_i"))))
     d = d.withColumn("_hit", F.lit(False))
@@ -166,7 +168,7 @@ def personal_data(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame
     Places are in code points, the end exclusive. A null text is empty; without matches the list is empty. Repeated rows give repeated
     results (as copies, they add no context to the counts); an empty table gives an empty result; other columns are ignored.
     """
-    d = protected(docs.select("doc_id", "text"), rule)
+    d = protected(docs.select("doc_id", "text"), rule, carry_text=False)
     base = F.filter("_spans", lambda s: s["kind"] != "term")
     n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return d.select("doc_id", *[n(k) for k in PATTERNS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"), n("term"))
