@@ -75,6 +75,14 @@ def test_blocked_join_over_the_date_line_and_near_the_pole(spark, monkeypatch):
     assert {(x.canonical_id, x.report_id) for x in match.candidates(i, r).collect()} == {("e", "r1"), ("p", "r2"), ("u", "r1"), ("u", "r2")}
 
 
+def test_blocked_join_at_the_end_of_the_window(spark, monkeypatch):
+    kind = "canonical_id string, species string, availability string, lat double, lon double, intake_date timestamp"
+    i = spark.createDataFrame([(str(h), "dog", "in_custody", 30.0, -97.0, datetime(2024, 3, 1 + h // 24, h % 24)) for h in range(24 * 14)], kind)
+    r = spark.createDataFrame([("r", "dog", 30.0, -97.0, None, [], datetime(2024, 3, 1))], "report_id string, species string, lat double, lon double, size string, colors array<string>, created timestamp")
+    monkeypatch.setattr(match, "BROADCAST_REPORTS", 0)
+    assert match.candidates(i, r, 80, 7).count() == 24 * 8
+
+
 def test_prefilter_is_monotone(spark):
     t = Tables(spark, SF)
     ids = lambda km, days: {r[0] for r in match.prefilter(t.v_intake, "dog", 30.0, -97.0, F.lit("2024-01-15").cast("timestamp"), km, days).collect()}
