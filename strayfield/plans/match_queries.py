@@ -48,13 +48,11 @@ def pairs_of(t):
 
 def with_visual(t):
     n = F.regexp_extract("report_id", "([0-9]+)", 1).cast("bigint")
-    return match.scored(pairs_of(t).withColumn("_n", n)).drop("score", "bucket", "narrative", "visual_score").withColumn("visual_score", F.when((F.col("event_id") + F.col("_n")) % 3 == 0, (F.col("event_id") * 7 + F.col("_n") * 13) % 1000 / F.lit(1000.0)))
+    return match.scored(pairs_of(t).withColumn("_n", n)).drop("score", "visual_score").withColumn("visual_score", F.when((F.col("event_id") + F.col("_n")) % 3 == 0, (F.col("event_id") * 7 + F.col("_n") * 13) % 1000 / F.lit(1000.0)))
 
 
 def fused(t):
-    v, a, g, r = (F.col(f"{x}_score") for x in ("visual", "attribute", "geo", "recency"))
-    d = with_visual(t).withColumn("score", sc.fused(v, a, g, r))
-    return d.withColumns({"bucket": sc.bucket(F.col("score")), "narrative": sc.narrative(v, a, g, r)})
+    return with_visual(t).withColumn("score", sc.fused(*(F.col(f"{x}_score") for x in ("visual", "attribute", "geo", "recency"))))
 
 
 @query(f"SELECT i.canonical_id FROM v_intake i, (SELECT 'dog' AS species, 30.25 AS lat, -97.75 AS lon, TIMESTAMP '2024-01-15 00:00:00' AS created) r WHERE i.species = r.species AND {PASSES}")
@@ -72,7 +70,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY until IS NULL
 SELECT report_id, CAST(rank AS INT) AS rank, canonical_id, round(score, 6) AS score, {BUCKET} AS bucket, epoch_us(until) AS reclaimable_until, {NARRATIVE} AS narrative FROM n WHERE rank <= 20""")
 def match_ranked(t):
     now = F.lit("2024-01-18 00:00:00").cast("timestamp")  # inside the data's month, so that some holds are open
-    d = match.ranked(fused(t), now)
+    d = match.explained(match.ranked(fused(t), now))
     return d.select("report_id", "rank", "canonical_id", F.round("score", 6).alias("score"), "bucket", F.unix_micros(F.col("reclaimable_until").cast("timestamp")).alias("reclaimable_until"), "narrative")
 
 
@@ -93,12 +91,12 @@ def recency_score(t):
 
 @query(f"SELECT report_id, canonical_id, round({FUSED}, 6) AS score, {NARRATIVE} AS narrative FROM ({PAIRS})")
 def fuse_scores(t):
-    return fused(t).select("report_id", "canonical_id", F.round("score", 6).alias("score"), "narrative")
+    return match.explained(fused(t)).select("report_id", "canonical_id", F.round("score", 6).alias("score"), "narrative")
 
 
 @query(f"SELECT bucket, count(*) AS n FROM (SELECT {BUCKET} AS bucket FROM (SELECT {FUSED} AS score FROM ({PAIRS}))) GROUP BY bucket")
 def assign_bucket(t):
-    return fused(t).groupBy("bucket").agg(F.count("*").alias("n"))
+    return match.explained(fused(t)).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT canonical_id, epoch_us({HOLD}) AS deadline, coalesce(TIMESTAMP '{NOW_TEXT}' < ({HOLD}), FALSE) AS in_hold FROM v_intake")
