@@ -47,7 +47,7 @@ def pairs_of(t):
 
 
 def with_visual(t):
-    n = F.regexp_extract("report_id", "([0-9]+)", 1).cast("bigint")
+    n = F.substring("report_id", 2, 20).cast("bigint")
     return match.scored(pairs_of(t).withColumn("_n", n)).drop("score", "visual_score").withColumn("visual_score", F.when((F.col("event_id") + F.col("_n")) % 3 == 0, (F.col("event_id") * 7 + F.col("_n") * 13) % 1000 / F.lit(1000.0)))
 
 
