@@ -29,7 +29,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxh3_64_intdigest(word)
         return h
