@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 WIDTH = 4096
+#: Bits of a trigram's number in the tables of familiar trigrams, and the trigrams of good will that each text has
+#: besides its own, so that a few words aren't judged by one name in them.
+BITS, GOODWILL = 20, 10
+#: Of the familiar share that one in a hundred held-out rows of a language doesn't reach, the part that a text must have; the least share
+#: where a language has no held-out rows.
+SLACK, LEAST_KNOWN = 0.75, 0.6
 #: Families of ISO 639-1 codes. A language that isn't named here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -39,11 +45,15 @@ def family(lang: str) -> str:
     return FAMILY.get(lang, lang)
 
 
-def features(text: str) -> np.ndarray:
+def trigrams(text: str) -> np.ndarray:
+    """The 32-bit hashes of the letter trigrams, in order."""
     b = BYTE[np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace"), np.uint8)]
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    code = code[(b[1:-1] != 32)]
-    x = np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=WIDTH).astype(np.float32)
+    return code[(b[1:-1] != 32)] * np.uint32(2654435761)
+
+
+def features(text: str) -> np.ndarray:
+    x = np.bincount(trigrams(text) >> np.uint32(20), minlength=WIDTH).astype(np.float32)
     x = np.sqrt(x)
     norm = float(np.sqrt((x * x).sum()))
     return x / norm if norm else x
@@ -110,14 +120,19 @@ class Hierarchy:
         return out
 
 
-def fit(rows: DataFrame, per_lang: int = 400) -> Hierarchy | None:
-    """Fit on about ``per_lang`` rows of each language of ``rows`` (doc_id, text, lang): a hash of the id picks them."""
+def sample(rows: DataFrame, per_lang: int) -> tuple[DataFrame, int]:
+    """About ``per_lang`` rows (lang, text) of each language of ``rows`` (doc_id, text, lang), picked by a hash of the id; and how many languages."""
     rows = rows.where("lang is not null and text is not null")
     n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * per_lang / v))) for k, v in sorted(n.items())]) if n else F.lit(0.0)
+    return rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text"), len(n)
+
+
+def fit(rows: DataFrame, per_lang: int = 400) -> Hierarchy | None:
+    """Fit on about ``per_lang`` rows of each language of ``rows`` (doc_id, text, lang): a hash of the id picks them."""
+    picked, n = sample(rows, per_lang)
     if not n:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * per_lang / v))) for k, v in sorted(n.items())])
-    picked = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
 
     def vectors(batches):
         for batch in batches:
@@ -126,20 +141,78 @@ def fit(rows: DataFrame, per_lang: int = 400) -> Hierarchy | None:
                 x = [features(t).astype(np.float16).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    found = picked.mapInArrow(vectors, "lang string, x binary").limit(8 * per_lang * len(n)).collect()
+    found = picked.mapInArrow(vectors, "lang string, x binary").limit(8 * per_lang * n).collect()
     found.sort(key=lambda r: (r.lang, bytes(r.x)))
     if not found:
         return None
     return Hierarchy(np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in found]), [r.lang for r in found])
 
 
-def with_language(docs: DataFrame, model: Hierarchy | None, carry_text: bool = True) -> DataFrame:
+class Familiar:
+    """Which trigrams were seen in each language, and how large a share of a text's trigrams must be among those of its language."""
+
+    def __init__(self, seen: dict[str, np.ndarray]):
+        tables = {k: np.zeros(1 << BITS, bool) for k in seen}
+        for k, v in seen.items():
+            tables[k][v] = True
+        self.packed = {k: np.packbits(v) for k, v in tables.items()}
+        self.least: dict[str, float] = {}
+
+    def tables(self) -> dict[str, np.ndarray]:
+        return {k: np.unpackbits(v).view(bool) for k, v in self.packed.items()}
+
+    @staticmethod
+    def share(text: str, table: np.ndarray) -> float:
+        at = trigrams(text) >> np.uint32(32 - BITS)
+        return (int(table[at].sum()) + GOODWILL) / (len(at) + GOODWILL)
+
+
+def familiar(docs: DataFrame, model: Hierarchy | None, per_lang: int = 400) -> Familiar | None:
+    """The trigrams of the rows that ``model`` was learned from, and the least shares from as many labelled rows that are held out."""
+    if model is None:
+        return None
+    rows = labelled(docs)
+
+    def seen(batches):
+        found = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at = np.unique(trigrams(text) >> np.uint32(32 - BITS))
+                found[lang] = np.union1d(found[lang], at) if lang in found else at
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.astype(np.uint32).tobytes() for v in found.values()], pa.binary())], names=["lang", "at"])
+
+    parts = {}
+    for r in sample(rows.where(~held_out()), per_lang)[0].mapInArrow(seen, "lang string, at binary").collect():
+        parts.setdefault(r.lang, []).append(np.frombuffer(r.at, np.uint32))
+    known = Familiar({k: np.unique(np.concatenate(v)) for k, v in parts.items()})
+
+    def shares(batches):
+        tables = known.tables()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                texts = part.column("text").to_pylist()
+                guess = model.predict(np.stack([features(t) for t in texts]))
+                got = [(g, known.share(t, tables[g])) for (g, _), t, lang in zip(guess, texts, part.column("lang").to_pylist(), strict=True) if g == lang and LETTER.search(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["lang", "share"])
+
+    clean: dict[str, list[float]] = {}
+    for r in sample(rows.where(held_out()), per_lang)[0].mapInArrow(shares, "lang string, share double").collect():
+        clean.setdefault(r.lang, []).append(r.share)
+    known.least = {k: SLACK * float(np.quantile(clean[k], 0.01)) if k in clean else LEAST_KNOWN for k in parts}
+    return known
+
+
+def with_language(docs: DataFrame, model: Hierarchy | None, carry_text: bool = True, known: Familiar | None = None) -> DataFrame:
     """``docs`` with lang_pred and score, from the whole column ``text`` alone.
 
-    A null text, or one without a letter, is ``und`` with score 0, and so is every text if there was nothing to learn from.
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text if there was nothing to learn from. Where ``known``
+    is given, so is a text of which too small a share of trigrams was seen in the language found: machines that tell languages apart have
+    a winner for any text.
     """
 
     def predict(batches):
+        tables = known.tables() if known else {}
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
@@ -148,7 +221,8 @@ def with_language(docs: DataFrame, model: Hierarchy | None, carry_text: bool = T
                 out = [("und", 0.0)] * len(texts)
                 if at:
                     for i, got in zip(at, model.predict(np.stack([features(texts[i]) for i in at])), strict=True):
-                        out[i] = got
+                        if known is None or known.share(texts[i], tables[got[0]]) >= known.least[got[0]]:
+                            out[i] = got
                 columns = [*zip(names, part.columns, strict=True), ("lang_pred", pa.array([x for x, _ in out], pa.string())), ("score", pa.array([x for _, x in out], pa.float64()))]
                 yield pa.RecordBatch.from_arrays([c for n, c in columns if n in kept], names=[n for n, _ in columns if n in kept])
 
@@ -165,9 +239,13 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return with_language(docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text")), model, carry_text=False)
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
 def learned(docs: DataFrame, per_lang: int = 400) -> Hierarchy | None:
     """A model of the labelled rows of ``docs`` that aren't held out."""
-    return fit(docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_lang)
+    return fit(labelled(docs.where(~held_out())), per_lang)
 
 
 def language_id(docs: DataFrame, per_lang: int = 400) -> DataFrame:
