@@ -104,6 +104,43 @@ def test_one_to_one_is_first_come(spark):
     assert {r.f_pos: r.s_pos for r in got.collect()} == want
 
 
+def first_come(pairs):
+    """The rule itself: each f in order takes the first s that is free."""
+    lists, taken, want = {}, set(), {}
+    for s, f in pairs:
+        lists.setdefault(f, set()).add(s)
+    for f in sorted(lists):
+        s = next((s for s in sorted(lists[f]) if s not in taken), None)
+        if s is not None:
+            taken.add(s)
+            want[f] = s
+    return want
+
+
+@pytest.mark.parametrize("block", [5, 2000])
+def test_one_to_one_in_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    pairs = [(int(s), int(f)) for s, f in rng.integers(1, 25, (180, 2))] + [(s, f) for s in range(1, 8) for f in range(1, 25)]
+    got = match.one_to_one(spark.createDataFrame(pairs, "s_pos int, f_pos int"), block=block)
+    assert {r.f_pos: r.s_pos for r in got.collect()} == first_come(pairs)
+    assert match.one_to_one(spark.createDataFrame([], "s_pos int, f_pos int"), block=block).count() == 0
+
+
+def test_one_to_one_of_everyones_list(spark):
+    """Each of 1100 has the same 1100 on its list, so each is refused by all that went before."""
+    pairs = spark.range(1, 1101).select(F.col("id").alias("s_pos")).crossJoin(spark.range(1, 1101).select(F.col("id").alias("f_pos")))
+    got = match.one_to_one(pairs).collect()
+    assert {r.f_pos: r.s_pos for r in got} == {k: k for k in range(1, 1101)}
+
+
+def test_federated_merge_on_the_largest_tables(spark, oracle):
+    from strayfield.plans import ORACLES, QUERIES
+
+    want = first_come(oracle(ORACLES["federated_candidates"], "sf0.1").fetchall())
+    got = [(int(r.canonical_id), int(r.federated_id)) for r in QUERIES["federated_merge"](spark, f"{DATA}/sf0.1").where("federated_id is not null").collect()]
+    assert len(got) == len(want) and {f: s for s, f in got} == want
+
+
 REJECTS = [("same", "dog", 0, 0.0, "u.jpg", True), ("far", "dog", 0, 1.0, "u.jpg", False), ("old", "dog", 9, 0.0, "u.jpg", False), ("photo", "dog", 0, 0.0, "zzzz/other.png", False), ("species", "cat", 0, 0.0, "u.jpg", False), ("unknown", "dog", None, None, "", True)]
 
 
