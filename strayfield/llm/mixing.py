@@ -67,17 +67,20 @@ class Mix:
     word of the document it starts with. A null text has no words; a null source is a source of its own, last in
     order. Rows that repeat a doc_id count as documents of their own. An empty table, or one without words, gives
     targets of 0. Other columns are ignored. ``weights`` repeat over the sources in code point order.
+    The result depends on the rows alone, not on their order, files or partitions. Slots are drawn in tasks of about ``task_slots``.
     At most ``max_sources`` sources are accepted: their names and sizes are the only thing that the driver sees.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, block: int = 128, shard_slots: int = 4096, max_shards: int = 100_000, seed: int = 20, max_sources: int = 100_000):
+    def __init__(
+        self, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, block: int = 128, shard_slots: int = 4096, max_shards: int = 100_000, seed: int = 20,
+        max_sources: int = 100_000, task_slots: int = 100_000,
+    ):
         spark = docs.sparkSession
         self.block = block
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        self.sized = persisted(
-            docs.select(F.col("doc_id").cast(kind), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("_row")),
-            "mix-sizes",
-        )
+        size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+        # _row tells rows apart; places in the order come from _place, which is the same however the table is cut
+        sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("_place"), F.monotonically_increasing_id().alias("_row"))
+        self.sized = persisted(sized, "mix-sizes")
         found = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
         if len(found) > max_sources:
             raise ValueError(f"over {max_sources} sources")
@@ -91,6 +94,7 @@ class Mix:
             "_src int, source string, source_size long, target double, _slots long, _cut long",
         )
         self.shards, self.seed = shards, seed
+        self.tasks = max(1, math.ceil(sum(n for n, _ in slots) / task_slots))
         self.buckets = max(256, math.ceil(sum(r.n for r in found) / 20_000))
 
     def slot_plan(self, size: int, target: float) -> tuple[int, int]:
@@ -108,10 +112,12 @@ class Mix:
     def pieces(self) -> DataFrame:
         """(_src, _block, doc_id, _row, at, words, skip): the piece of a document that lies in a block, at word ``at`` of it."""
         b, known = self.block, F.broadcast(self.sources.select("_src", F.col("source").alias("_name")))  # at most max_sources rows
-        s = self.sized.where("size > 0").join(known, F.col("_name").eqNullSafe(F.col("source"))).select("_src", "doc_id", "_row", "size", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(self.buckets)).cast("int").alias("_bucket"))
+        bucket = F.pmod("_place", F.lit(self.buckets)).cast("int").alias("_bucket")
+        s = self.sized.where("size > 0").join(known, F.col("_name").eqNullSafe(F.col("source"))).select("_src", "doc_id", "_place", "_row", "size", bucket)
         before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = s.groupBy("_src", "_bucket").agg(F.sum("size").alias("_sum")).select("_src", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-        inside = Window.partitionBy("_src", "_bucket").orderBy("doc_id", "_row").rowsBetween(Window.unboundedPreceding, -1)
+        # rows alike in id and text are interchangeable: whichever comes first, the same numbers are dealt out among them
+        inside = Window.partitionBy("_src", "_bucket").orderBy("_place", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
         start = F.col("_offset") + F.col("_before")
         p = s.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_src", "_bucket"]).select("_src", "doc_id", "_row", "size", start.alias("_start"))
         p = p.withColumn("_block", F.explode(F.sequence(F.expr(f"_start div {b}"), F.expr(f"(_start + size - 1) div {b}"))))
@@ -145,12 +151,13 @@ class Mix:
                         yield pd.DataFrame({"_src": np.int32(src), "shard": shard, "slot": j, "_block": index, "_limit": limit})
 
         per_shard = self.sources.where("_slots > 0").select("_src", "_slots", "_cut", "source_size").mapInPandas(counts, "_src int, shard long, first long, n long, size long, slots long, cut long")
-        return per_shard.repartition("_src", "shard").mapInPandas(blocks, "_src int, shard long, slot long, _block long, _limit long")
+        return per_shard.repartition(self.tasks, "_src", "shard").mapInPandas(blocks, "_src int, shard long, slot long, _block long, _limit long")
 
     def slots(self) -> DataFrame:
+        """Slots and pieces both grow with the input and what pandas returns has no size that Spark knows: neither side is broadcast."""
         cut = F.least("words", F.col("_limit") - F.col("at"))
         return (
-            self.drawn().join(self.pieces(), ["_src", "_block"]).where(cut > 0)
+            self.drawn().hint("merge").join(self.pieces(), ["_src", "_block"]).where(cut > 0)
             .join(F.broadcast(self.sources.select("_src", "source")), "_src")
             .select("shard", "slot", "source", "doc_id", F.col("skip").alias("first"), cut.alias("words"), "_row")
         )

@@ -338,6 +338,16 @@ def test_mix(spark, odd, empty, docs):
     assert [(r.size, r.target, r.taken) for r in nothing] == [(0, 0.0, 0)] * 2
 
 
+def test_mix_is_the_same_however_the_table_is_cut(spark, docs, odd):
+    from strayfield.llm.mixing import Mix
+
+    for d in (docs, odd):
+        taken = lambda x: Counter((r.doc_id, r.size, r.target, r.taken, r.source) for r in Mix(x, block=16, task_slots=500).documents().collect())
+        want = taken(d.coalesce(1))
+        for cut in (d.repartition(3), d.repartition(7, F.rand(1)), d.orderBy(F.rand(2)), d.repartitionByRange(5, F.desc("text"))):
+            assert taken(cut) == want
+
+
 def test_slots_are_within_their_documents(spark, docs):
     from strayfield.llm.mixing import Mix
 
