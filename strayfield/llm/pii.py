@@ -97,15 +97,50 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
+#: Words between two marks of a text's word index.
+STRIDE = 256
+
+
+def indexed(d: DataFrame) -> DataFrame:
+    """Add ``_words``, the words of ``text``; ``_steps``, from each word's start to the next one's in code points; ``_marks``, the start of
+    every 256th word. A word's place, or the word at a place, is then found by a mark and the steps behind it."""
+    d = d.withColumns({"_words": F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), "_gaps": F.split("text", TERM, -1)})
+    d = d.withColumn("_steps", F.zip_with("_words", F.slice("_gaps", 2, F.size("_words")), lambda w, g: F.char_length(w) + F.char_length(g)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("_words") / STRIDE).cast("int")), lambda c: F.aggregate(F.slice("_steps", c * STRIDE + 1, STRIDE), F.lit(0), lambda a, x: a + x))
+    first = F.array(F.char_length(F.get("_gaps", 0)))
+    marks = F.aggregate(chunks, first, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    return d.withColumn("_marks", marks).drop("_gaps")
+
+
+def start_of(i: Column) -> Column:
+    """Where the i-th word begins."""
+    chunk = F.floor(i / STRIDE).cast("int")
+    return F.get("_marks", chunk) + F.aggregate(F.slice("_steps", chunk * STRIDE + 1, i - chunk * STRIDE), F.lit(0), lambda a, x: a + x)
+
+
+def words_before(place: Column) -> Column:
+    """How many words begin before ``place``."""
+    chunk = F.greatest(F.lit(0), F.size(F.filter("_marks", lambda m: m < place)) - 1)
+    steps = F.slice("_steps", chunk * STRIDE + 1, STRIDE)
+    begin = F.struct(F.get("_marks", chunk).alias("at"), F.lit(0).alias("n"))
+    count = lambda a, x: F.struct((a["at"] + x).alias("at"), (a["n"] + (a["at"] < place).cast("int")).alias("n"))
+    return chunk * STRIDE + F.aggregate(steps, begin, count, lambda a: a["n"])
+
+
 def neighbours(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """(_row, entity, context, word): the words within reach of each entity."""
-    wide = 40 * rule.reach
-    d = base_spans(docs.select("text", F.monotonically_increasing_id().alias("_row"))).where(F.size("_spans") > 0).select("_row", "text", F.explode("_spans").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = words_of(F.substring(F.col("text"), F.greatest(F.lit(1), start - wide + 1), F.least(start, F.lit(wide))))
-    right = words_of(F.substring(F.col("text"), end + 1, F.lit(wide)))
+    """(_row, entity, context, word): the words within reach of each entity, of whatever length they are. Words that lie in it, or partly, aren't."""
+    d = base_spans(docs.select("text", F.monotonically_increasing_id().alias("_row"))).where(F.size("_spans") > 0)
+    d = indexed(d).select("_row", "_words", "_steps", "_marks", F.explode("_spans").alias("s"))
+    d = d.withColumns({"_before": words_before(F.col("s.start")), "_upto": words_before(F.col("s.end"))})
+    last = F.greatest(F.lit(0), F.col("_before") - 1)
+    inside = (F.col("_before") > 0) & (start_of(last) + F.char_length(F.get("_words", last)) > F.col("s.start"))
+    d = d.withColumn("_before", F.col("_before") - inside.cast("int"))
+    low = F.greatest(F.lit(0), F.col("_before") - rule.reach)
+    lowered = lambda words: F.transform(words, lambda w: F.lower(w))
+    left = lowered(F.slice("_words", low + 1, F.col("_before") - low))
+    right = lowered(F.slice("_words", F.col("_upto") + 1, F.lit(rule.reach)))
     value = F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    d = d.select("_row", F.concat_ws(":", "s.kind", value).alias("entity"), F.reverse(F.slice(F.reverse(left), 1, rule.reach)).alias("_left"), F.slice(right, 1, rule.reach).alias("_right"))
+    d = d.select("_row", F.concat_ws(":", "s.kind", value).alias("entity"), left.alias("_left"), right.alias("_right"))
     near = F.array_distinct(F.concat("_left", "_right"))
     d = d.select("_row", "entity", F.xxhash64("_left", "_right").alias("context"), F.explode(near).alias("word"))
     return d.where((F.length("word") >= rule.shortest) & ~F.col("word").rlike("^[0-9]+$"))
@@ -135,7 +170,8 @@ def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), broadcast_words
 def protected(docs: DataFrame, rule: Disclosure = Disclosure(), block: int = 100_000, carry_text: bool = True) -> DataFrame:  # noqa: B008
     """``docs`` with ``_spans``: the pattern matches, and the disclosing words outside of them (kind ``term``).
 
-    ``docs`` needs a text column only; its others are kept, and the text itself if ``carry_text``. Disclosing words are broadcast in blocks of ``block``.
+    ``docs`` needs a text column only; its others are kept, and the text itself if ``carry_text``; a ``_spans`` of the caller is replaced.
+    Disclosing words are broadcast in blocks of ``block``.
     """
     terms = persisted(disclosing(docs, rule).groupBy("word").agg(F.max("bits").alias("bits")), "pii-terms")
     n = terms.count()
@@ -143,19 +179,24 @@ def protected(docs: DataFrame, rule: Disclosure = Disclosure(), block: int = 100
     if not n:
         return d
     blocks = -(-n // block)
-    kept = [c for c in d.columns if carry_text or c != "text"]
-    d = d.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_words": F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), "_gaps": F.split("text", TERM, -1)})
-    d = d.select(F.struct(*kept).alias("_doc"), "_row", "_words", "_gaps", F.explode(F.sequence(F.lit(-1), F.size("_words") - 1)).alias("_i")).withColumn("_word", F.lower(F.get("_words", F.col("_i"))))
-    d = d.withColumn("_hit", F.lit(False))
+    kept = [c for c in d.columns if (carry_text or c != "text") and c != "_spans"]
+    document = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]).alias("_doc")
+    place = F.posexplode(F.concat(F.array(F.lit("")), F.transform("_words", lambda w: F.lower(w)))).alias("_i", "_word")
+    # _i is 0 for the document itself, which every document has, else a word's number, from 1 on
+    d = indexed(d.select(document, "text", "_spans", F.monotonically_increasing_id().alias("_row"))).select("_row", "_doc", "_spans", "_words", "_steps", "_marks", place)
+    hit = F.lit(False)
     for k in range(blocks):
-        own = terms.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).select(F.col("word").alias("_word"), F.lit(True).alias("_found"))
-        d = d.join(F.broadcast(own), "_word", "left").withColumn("_hit", F.col("_hit") | F.col("_found").isNotNull()).drop("_found")
-    total = lambda c, m: F.aggregate(F.slice(c, 1, m), F.lit(0), lambda a, x: a + F.char_length(x))
-    start = total("_gaps", F.col("_i") + 1) + total("_words", F.col("_i"))
-    d = d.where("_hit or _i = -1").select("_row", F.when(F.col("_i") == -1, F.col("_doc")).alias("_doc"), F.when(F.col("_hit"), F.struct(start.alias("start"), F.lit(len(KINDS) - 1).alias("rank"), F.lit("term").alias("kind"), (start + F.char_length(F.get("_words", F.col("_i")))).alias("end"), F.get("_words", F.col("_i")).alias("value"))).alias("_term"))
-    d = d.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.collect_list("_term").alias("_terms"))
-    free = F.filter("_terms", lambda t: ~F.exists(F.col("_doc._spans"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return d.select(*[F.col(f"_doc.{c}").alias(c) for c in kept if c != "_spans"], F.array_sort(F.concat(F.col("_doc._spans"), free)).alias("_spans"))
+        own = terms.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).select(F.col("word").alias("_word"), F.lit(True).alias(f"_found{k}"))
+        d = d.join(F.broadcast(own), "_word", "left")
+        hit = hit | F.col(f"_found{k}").isNotNull()
+    d = d.withColumn("_hit", hit).where("_hit or _i = 0")
+    start, own = start_of(F.col("_i") - 1), F.get("_words", F.col("_i") - 1)
+    term = F.struct(start.alias("start"), F.lit(len(KINDS) - 1).alias("rank"), F.lit("term").alias("kind"), (start + F.char_length(own)).alias("end"), own.alias("value"))
+    whole = lambda c: F.when(F.col("_i") == 0, F.col(c)).alias(c)
+    d = d.select("_row", whole("_doc"), whole("_spans"), F.when(F.col("_hit"), term).alias("_term"))
+    d = d.groupBy("_row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_doc", "_spans")], F.collect_list("_term").alias("_terms"))
+    free = F.filter("_terms", lambda t: ~F.exists("_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return d.select(*[F.col(f"_doc.c{k}").alias(c) for k, c in enumerate(kept)], F.array_sort(F.concat("_spans", free)).alias("_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -175,14 +216,20 @@ def personal_data(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame
 
 
 def sanitised(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:  # noqa: B008
-    """``docs`` with every span of ``text`` generalised to its kind, like ``[EMAIL]``. A null text stays null; overlapping spans become one."""
-    d = protected(docs.withColumn("_null", F.col("text").isNull()), rule)
+    """``docs`` with every span of ``text`` generalised to its kind, like ``[EMAIL]``.
+
+    A null text stays null, an empty one empty; overlapping spans become one. Repeated rows stay repeated; an empty table gives an empty
+    one; other columns, whatever their names, are kept as they are.
+    """
+    own = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"], F.col("text").isNull().alias("_null")).alias("_own")
+    d = protected(docs.select(own, "text"), rule)
 
     def step(a, s):
         here = s["start"] >= a["at"]
         out = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.when(here, out).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    end = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), F.char_length("text") - a["at"]))))
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).when(F.size("_spans") == 0, F.col("text")).otherwise(end)
-    return d.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    rest = lambda a: F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), F.char_length("text") - a["at"]))
+    end = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], rest(a)))
+    text = F.when(F.col("_own._null"), F.lit(None).cast("string")).when(F.size("_spans") == 0, F.col("text")).otherwise(end)
+    return d.select(*[text.alias(c) if c == "text" else F.col(f"_own.c{k}").alias(c) for k, c in enumerate(docs.columns)])

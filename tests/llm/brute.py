@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from itertools import combinations
 
@@ -91,3 +92,37 @@ def contamination(docs, items, window=10):
         listed = ",".join(sorted(map(str, found)))
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)))
     return out
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def all_spans(docs: list[tuple[object, str | None]], contexts=3, posterior=0.8, bits=4.0, reach=8, shortest=3) -> tuple[list[str], set[str]]:
+    """The spans of each document, disclosing words among them, and these words."""
+    found = [base_spans(t) for _, t in docs]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(TERM, t or "")] for _, t in docs]
+    near, of_entity = {}, {}
+    for k, (_, t) in enumerate(docs):
+        for start, _, kind, end in found[k]:
+            entity = (kind, re.sub("[^0-9]", "", t[start:end]) if kind in ("card", "phone") else t[start:end].lower())
+            left = tuple(w for _, e, w in words[k] if e <= start)[-reach:]
+            right = tuple(w for s, _, w in words[k] if s >= end)[:reach]
+            of_entity.setdefault(entity, set()).add(k)
+            for w in {*left, *right}:
+                if len(w) >= shortest and not re.fullmatch("[0-9]+", w):
+                    own = near.setdefault((w, entity), (set(), set()))
+                    own[0].add((left, right))
+                    own[1].add(k)
+    alone = {}
+    for k, own in enumerate(words):
+        for w in {w for _, _, w in own}:
+            alone[w] = alone.get(w, 0) + 1
+    telling = {
+        w for (w, e), (c, d) in near.items()
+        if len(c) >= contexts and len(d) / alone[w] >= posterior and math.log2(len(d) * len(docs) / (alone[w] * len(of_entity[e]))) >= bits
+    }
+    out = []
+    for base, own in zip(found, words, strict=True):
+        terms = [(s, 4, "term", e) for s, e, w in own if w in telling and not any(a < e and s < b for a, _, _, b in base)]
+        out.append(",".join(f"{kind}:{s}:{e}" for s, _, kind, e in sorted(base + terms)))
+    return out, telling

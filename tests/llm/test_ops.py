@@ -232,6 +232,37 @@ def test_words_that_give_an_entity_away(spark, empty):
     assert personal_data(empty).count() == 0
 
 
+def test_spans_are_those_of_plain_python(spark, texts, odd):
+    """Disclosing words too, beside words of any length, with many of them in one text, and across the marks of the word index."""
+    from strayfield.llm.pii import personal_data
+
+    got = {r.doc_id: r.spans for r in queries.op6_pii(spark, SF).collect()}
+    assert got == dict(zip([i for i, _ in texts], brute.all_spans(texts)[0], strict=True))
+    rng = random.Random(9)
+    fill = [f"filler{k}" for k in range(60)]
+    said = lambda n=9: " ".join(rng.sample(fill, n))
+    made = [(k, f"{said()} Zorblatt {'w' * 400} z.b@mail.example {'v' * 400}, Quux {said()}") for k in range(6)]
+    made += [(10 + k, f"{said(3)} éa@b.ex, 1.2.3.{k % 2} Ünik {said(2)}") for k in range(5)]
+    made += [(20, "ünik " + " ".join(rng.choice([*fill, "Zorblatt", "zorblatt", "x@y.example", "+1 555 123 4567"]) for _ in range(1500)))]
+    made += [(100 + k, said() + " x" + str(k)) for k in range(300)] + [(500, None), (501, "quux"), (501, "quux")]
+    both = made + [(i, t) for i, t, *_ in ODD]
+    want, telling = brute.all_spans(both)
+    assert {"zorblatt", "w" * 400, "v" * 400} <= telling
+    d = spark.createDataFrame(made, "doc_id bigint, text string").unionByName(odd.select("doc_id", "text"))
+    got = Counter((r.doc_id, r.spans) for r in personal_data(d).collect())
+    assert got == Counter((i, s) for (i, _), s in zip(both, want, strict=True))
+
+
+def test_sanitised_keeps_columns_of_any_name(spark, empty):
+    from strayfield.llm.pii import sanitised
+
+    kind = "_row int, _spans string, _words string, text string, _null string, c0 string, _doc string, _hit string, _own string"
+    d = spark.createDataFrame([(1, "s", "w", "mail a@b.c now", "n", "c", "d", "h", "o"), (2, None, None, None, None, None, None, None, None)], kind)
+    got = sorted(tuple(r) for r in sanitised(d).collect())
+    assert got == [(1, "s", "w", "mail [EMAIL] now", "n", "c", "d", "h", "o"), (2, *[None] * 8)] and sanitised(d).columns == d.columns
+    assert sanitised(empty).count() == 0 and sanitised(empty).columns == empty.columns
+
+
 # 7 ------------------------------------------------------------------
 
 
