@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The published rank-1 rates of the two species, and of all.
+RANK1, RANK1_OTHER = {"dog": 0.538, "cat": 0.346}, 0.449
+#: The last day of each bucket of gaps between sessions, and its name.
+GAP_BUCKETS = [(60, "30-60d"), (120, "61-120d"), (365, "121-365d"), (730, "1-2y")]
+
+
+def rank1_baseline(species: Column) -> Column:
+    """The published share of right first hits of a species."""
+    return F.coalesce(*[F.when(species == s, F.lit(x)) for s, x in RANK1.items()], F.lit(RANK1_OTHER))
+
+
+def gap_label(days: Column) -> Column:
+    """The name of the bucket of a gap between two sessions; null beyond the last."""
+    return F.coalesce(*[F.when(days <= last, F.lit(name)) for last, name in GAP_BUCKETS])
+
+
+def organisation(url: Column) -> Column:
+    """The organisation in a picture's address on the feed's image host; ``?`` in any other address."""
+    found = F.regexp_extract(url, r"cdn\.rescuegroups\.org/([^/]*)", 1)
+    return F.when(url.contains("cdn.rescuegroups.org/"), found).otherwise("?")
+
+
 def fit_thresholds(pairs: DataFrame) -> DataFrame:
-    """(possible, strong): the strong threshold of 0.2 to 0.9 with the best precision, the smallest of equals; the defaults if all are 0."""
-    grid = F.explode(F.array(*[F.lit(k / 10) for k in range(2, 10)]))
-    p = pairs.withColumn("strong", grid).where(F.col("score") >= F.col("strong")).groupBy("strong").agg(F.avg(F.col("is_match").cast("double")).alias("precision"))
-    best = p.where("precision > 0").orderBy(F.round("precision", 12).desc(), "strong").limit(1)
-    return best.agg(F.when(F.count("*") > 0, 0.1).otherwise(0.35).alias("possible"), F.coalesce(F.max("strong"), F.lit(0.65)).alias("strong"))
+    """(possible, strong): the strong threshold of 0.2 to 0.9 with the best precision, the smallest of equals; the defaults if all are 0. One pass."""
+    grid = [k / 10 for k in range(2, 10)]
+    rate = lambda g: F.count_if((F.col("score") >= g) & F.col("is_match")) / F.nullif(F.count_if((F.col("score") >= g) & F.col("is_match").isNotNull()), F.lit(0))
+    tried = pairs.agg(*[rate(g).alias(f"p{k}") for k, g in enumerate(grid)])
+    # the largest (precision, -threshold): the best, and of equals the smallest
+    best = F.array_max(F.filter(F.array(*[F.struct(F.round(f"p{k}", 12).alias("p"), F.lit(-g).alias("g")) for k, g in enumerate(grid)]), lambda x: x["p"] > 0))
+    return tried.select(F.when(best.isNotNull(), 0.1).otherwise(0.35).alias("possible"), F.coalesce(-best["g"], F.lit(0.65)).alias("strong"))
 
 
 def calibration_report(pairs: DataFrame, possible: float = 0.35, strong: float = 0.65) -> DataFrame:
@@ -30,8 +54,10 @@ def photo_sessions(pictures: DataFrame, gap_days: int = 30) -> DataFrame:
 
 def session_pairs(sessions: DataFrame, least: int = 30, most: int = 730) -> DataFrame:
     """Per animal its newest session and the latest earlier one that ended ``least`` to ``most`` days before it began, with three pictures of each."""
-    order = F.array_sort(F.collect_list(F.struct("created", "picture")))
-    s = sessions.groupBy("animal", "session").agg(F.min("created").alias("first"), F.max("created").alias("last"), F.slice(F.transform(order, lambda x: x["picture"]), 1, 3).alias("pictures"))
+    # only a session's first three pictures are gathered
+    nth = F.row_number().over(Window.partitionBy("animal", "session").orderBy("created", "picture"))
+    few = F.collect_list(F.when(F.col("_nth") <= 3, F.struct("created", "picture")))
+    s = sessions.withColumn("_nth", nth).groupBy("animal", "session").agg(F.min("created").alias("first"), F.max("created").alias("last"), F.transform(F.array_sort(few), lambda x: x["picture"]).alias("pictures"))
     newest = s.withColumn("_n", F.row_number().over(Window.partitionBy("animal").orderBy(F.col("session").desc()))).where("_n = 1")
     early = s.select("animal", F.col("session").alias("earlier"), F.col("last").alias("_last"), F.col("pictures").alias("gallery"))
     gap = F.floor((F.unix_micros(F.col("first").cast("timestamp")) - F.unix_micros(F.col("_last").cast("timestamp"))) / F.lit(86_400_000_000))
@@ -48,8 +74,12 @@ def stratified_sample(rows: DataFrame, per_species: int = 300, per_org: int = 5,
 
 
 def manifest_statistics(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Animals, those with several sessions, eligible ones, and the gaps at n // 4, n // 2 and 3 n // 4 of their order."""
-    a = sessions.groupBy("animal").agg(F.max("session").alias("s")).agg(F.count("*").alias("animals"), F.count_if(F.col("s") > 0).alias("multi_session"))
+    """Animals, those with pictures and with several sessions, organisations, eligible animals, and the gaps at n // 4, n // 2 and 3 n // 4 of their order.
+
+    ``sessions`` has (animal, picture, org, session), a null picture for an animal without one.
+    """
+    per = sessions.groupBy("animal").agg(F.max("session").alias("s"), F.count("picture").alias("p"), F.max("org").alias("org"))
+    a = per.agg(F.count("*").alias("animals"), F.count_if(F.col("p") > 0).alias("with_pictures"), F.count_if(F.col("s") > 0).alias("multi_session"), F.countDistinct("org").alias("orgs"))
     counted = pairs.groupBy("gap_days").agg(F.count("*").alias("c"))  # as many rows as there are different gaps, 701 at most
     before = Window.orderBy("gap_days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = counted.withColumn("_upto", F.sum("c").over(before)).crossJoin(F.broadcast(counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_n"))))

@@ -12,7 +12,8 @@ BROADCAST_PLACES = 500_000
 
 
 def geocode(rows: DataFrame, gazetteer: DataFrame, text: str = "place_text") -> DataFrame:
-    """Add lat, lon and outcome. A zip in the text comes first, then "city, ST" or "city ST"; rows that have coordinates keep them."""
+    """Add lat, lon, outcome and located_by, which is ``found_text`` for the rows that the text has located. A zip in the text comes first, then
+    "city, ST" or "city ST"; rows that have coordinates keep them."""
     few = gazetteer.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
     hint = F.broadcast if few else (lambda d: d)
     zips = gazetteer.where("zip is not null").groupBy("zip").agg(F.max("lat").alias("_zlat"), F.max("lon").alias("_zlon"))
@@ -24,4 +25,4 @@ def geocode(rows: DataFrame, gazetteer: DataFrame, text: str = "place_text") ->
     lat, lon = F.coalesce("_zlat", "_clat"), F.coalesce("_zlon", "_clon")
     set_ = F.col("lat").isNotNull() if has else F.lit(False)
     outcome = F.when(set_, "already_set").when(lat.isNotNull(), "filled").otherwise("not_resolved")
-    return d.withColumns({"outcome": outcome, "lat": F.when(set_, F.col("lat") if has else F.lit(None)).otherwise(lat), "lon": F.when(set_, F.col("lon") if has else F.lit(None)).otherwise(lon)}).drop("_zip", "_city", "_st", "_zlat", "_zlon", "_clat", "_clon")
+    return d.withColumns({"outcome": outcome, "located_by": F.when(~set_ & lat.isNotNull(), "found_text"), "lat": F.when(set_, F.col("lat") if has else F.lit(None)).otherwise(lat), "lon": F.when(set_, F.col("lon") if has else F.lit(None)).otherwise(lon)}).drop("_zip", "_city", "_st", "_zlat", "_zlon", "_clat", "_clon")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.score import primary_photo
+
 TTL_DAYS = 90
 
 
@@ -13,6 +15,11 @@ def contact_token(raw: Column, salt: str) -> Column:
     return F.concat(F.lit("tok_"), F.left(F.sha2(F.concat(F.lit(salt), raw), 256), F.lit(16)))
 
 
+def summary(reports: DataFrame, salt: str) -> DataFrame:
+    """What is shown of a report: no contact but its token."""
+    return reports.select("report_id", "species", "status", "expires", contact_token(F.col("contact"), salt).alias("contact_token"))
+
+
 def submit_reports(reports: DataFrame, known: DataFrame, salt: str) -> DataFrame:
     """Reports with token and expiry and a status: accepted, duplicate (id already known), or bad_url (notify_url isn't http or https)."""
     d = reports.join(known.select("report_id").distinct().withColumn("_known", F.lit(True)), "report_id", "left")
@@ -41,6 +48,12 @@ def new_alerts(candidates: DataFrame, ledger: DataFrame, retry_failed: bool = Fa
     return candidates.dropDuplicates(["report_id", "candidate_id"]).join(done.select("report_id", "candidate_id").distinct(), ["report_id", "candidate_id"], "left_anti")
 
 
+def alerts_by_report(alerts: DataFrame) -> DataFrame:
+    """(report_id, alerts, n) from (report_id, candidate_id, alerted_at): a report's candidates in the order of their alerts, comma-joined."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("alerted_at", "candidate_id"))), lambda a: a["candidate_id"])
+    return alerts.groupBy("report_id").agg(F.array_join(listed, ",").alias("alerts"), F.count("*").alias("n"))
+
+
 def alert_message(species: Column, city: Column, state: Column, deadline: Column) -> Column:
     area = F.when(city.isNotNull(), F.concat(F.lit(" at "), F.concat_ws(", ", city, state)))
     hold = F.concat(F.lit(" This animal is a stray in hold; reclaim deadline: "), F.date_format(deadline, "yyyy-MM-dd HH:mm"), F.lit(" UTC."))
@@ -67,12 +80,13 @@ def flyer(token: Column) -> Column:
     )
 
 
-def short_flyer(token: Column, relay: str = "https://relay.example/relay/") -> Column:
-    """The shorter flyer: colours and description cut at 100 characters, the first photo, a relay link."""
+def short_flyer(token: Column, photos: Column, relay: str = "https://relay.example/relay/") -> Column:
+    """The shorter flyer: colours and description cut at 100 characters, the first primary photo of ``photos`` (url, is_primary), a relay link."""
+    photo = F.nullif(primary_photo(photos), F.lit(""))
     about = F.left(F.concat_ws(", ", F.nullif(F.array_join("colors", ", "), F.lit("")), "description"), F.lit(100))
     return F.concat_ws(
         "\n", F.concat(F.lit("LOST: Unknown ("), "species", F.lit(" / "), F.coalesce("breed_primary", F.lit("mixed")), F.lit(")")), F.concat(F.lit("Last seen: "), place_line(), F.lit(" on "), F.date_format("created", "yyyy-MM-dd")),
-        F.concat(F.lit("Description: "), F.when(about == "", "(none)").otherwise(about)), F.concat(F.lit("Photo: "), F.coalesce(F.get("photos", 0), F.lit("none"))), F.concat(F.lit("Contact: " + relay), token), F.lit("---"), F.lit("Please post to local groups with this flyer."), F.lit(""),
+        F.concat(F.lit("Description: "), F.when(about == "", "(none)").otherwise(about)), F.concat(F.lit("Photo: "), F.coalesce(photo, F.lit("none"))), F.concat(F.lit("Contact: " + relay), token), F.lit("---"), F.lit("Please post to local groups with this flyer."), F.lit(""),
     )
 
 

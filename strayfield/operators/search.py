@@ -62,3 +62,14 @@ def keyset_page(records: DataFrame, cursor: str | None, limit: int) -> DataFrame
 
 def recent(records: DataFrame, limit: int = 20) -> DataFrame:
     return records.orderBy(F.col("last_seen").desc(), "canonical_id").limit(min(50, max(1, limit)))
+
+
+def since_cursor(records: DataFrame, seen: Column, cursor: Column, feed: str) -> DataFrame:
+    """What a feed has beyond its cursor: strictly later rows; GeoJSON compares whole milliseconds, and JSON:API takes the boundary again."""
+    if feed == "geojson":
+        return records.where(F.unix_millis(seen) > F.unix_millis(cursor))
+    return records.where(seen >= cursor if feed == "jsonapi" else seen > cursor)
+
+
+def explanation(score: Column) -> Column:
+    return F.format_string("This animal has a similarity score of %.1f%% — please review in person to confirm.", score * 100)

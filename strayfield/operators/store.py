@@ -100,3 +100,15 @@ def delta_refresh(held: DataFrame, store: DataFrame) -> DataFrame:
     delta = store.crossJoin(F.broadcast(mark)).where("last_seen > _mark").drop("_mark")  # one row
     w = Window.partitionBy("canonical_id").orderBy(F.col("last_seen").desc())
     return held.unionByName(delta).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def first_of_feed(records: DataFrame, order: str) -> DataFrame:
+    """Of the rows of one animal in a feed the first."""
+    w = Window.partitionBy("source_name", "source_animal_id").orderBy(order)
+    return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def attribute_duplicates(records: DataFrame) -> DataFrame:
+    """Groups of records alike in species, breed, sex, age, shelter and day of intake, with their size; null counts as a value."""
+    day = F.col("intake_date").cast("date").cast("string").alias("day")
+    return records.groupBy("species", "breed_primary", "sex", "age_bucket", "city_county", day).agg(F.count("*").alias("n")).where("n > 1")

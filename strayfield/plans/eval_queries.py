@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, vectors
+from ..sources import feeds
 from .registry import query
 
 SIM = "list_dot_product(CAST(g.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(g.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
@@ -36,7 +37,7 @@ def knn_per_animal(t):
 
 @query()
 def knn_approximate(t):
-    return vectors.lsh_knn(t.v_gallery, queries_of(t), 10).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
+    return vectors.approximate_knn(t.v_gallery, queries_of(t), 10).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @query("SELECT vec_id, round(list_sum([x * x for x in CAST(embedding AS DOUBLE[])]), 4) AS squared, round(embedding[1] / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS first FROM embeddings")
@@ -45,11 +46,16 @@ def l2_normalize(t):
     return t.embeddings.select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"), F.round(F.get(v, 0), 5).alias("first"))
 
 
-@query(f"SELECT query_id, vec_id = query_id AS is_self, round(similarity, 5) AS similarity FROM ({RANKED}) WHERE rank = 1")
+@query(f"""WITH r AS ({RANKED}) SELECT query_id, bool_or(rank = 1 AND vec_id = query_id) AS is_self, round(max(similarity), 5) AS similarity, coalesce(round(max(similarity) FILTER (rank = 2), 9) < round(max(similarity), 9), TRUE) AS others_lower
+FROM r WHERE rank <= 2 GROUP BY query_id""")
 def self_match(t):
-    """Each query finds itself first."""
-    top = vectors.knn(t.v_gallery, queries_of(t), 1)
-    return top.select("query_id", (F.col("vec_id") == F.col("query_id")).alias("is_self"), F.round("similarity", 5).alias("similarity"))
+    """Each query finds itself first, and all others are less alike."""
+    top = vectors.knn(t.v_gallery, queries_of(t), 2)
+    second = F.max(F.when(F.col("rank") == 2, F.col("similarity")))
+    return top.groupBy("query_id").agg(
+        F.bool_or((F.col("rank") == 1) & (F.col("vec_id") == F.col("query_id"))).alias("is_self"), F.round(F.max("similarity"), 5).alias("similarity"),
+        F.coalesce(F.round(second, 9) < F.round(F.max("similarity"), 9), F.lit(True)).alias("others_lower"),
+    )
 
 
 SPLIT = "SELECT *, CASE WHEN row_number() OVER (PARTITION BY individual_id ORDER BY vec_id) = 1 THEN 'gallery' ELSE 'query' END AS role FROM v_gallery"
@@ -78,11 +84,11 @@ def eval_rank_metrics(t):
     return metrics(t).agg(F.count("*").alias("queries"), at(1), at(5), at(20), F.round(F.avg("average_precision"), 6).alias("map"))
 
 
-@query(EVAL + """, b AS (SELECT *, CASE query_id % 4 WHEN 0 THEN '30-60' WHEN 1 THEN '61-120' WHEN 2 THEN '121-365' ELSE '366-730' END AS gap FROM m)
+@query(EVAL + """, b AS (SELECT *, CASE query_id % 4 WHEN 0 THEN '30-60d' WHEN 1 THEN '61-120d' WHEN 2 THEN '121-365d' ELSE '1-2y' END AS gap FROM m)
 SELECT species, gap, count(*) AS n, round(avg(CAST(coalesce(true_rank = 1, FALSE) AS INT)), 6) AS rank1, count(DISTINCT want) FILTER (true_rank = 1) AS found FROM b GROUP BY GROUPING SETS ((species), (gap))""")
 def eval_slices(t):
     """Accuracy by species and by gap, in one pass over grouping sets."""
-    gap = F.when(F.col("query_id") % 4 == 0, "30-60").when(F.col("query_id") % 4 == 1, "61-120").when(F.col("query_id") % 4 == 2, "121-365").otherwise("366-730")
+    gap = evaluation.gap_label(F.element_at(F.array(*[F.lit(x) for x in (30, 120, 121, 730)]), (F.col("query_id") % 4 + 1).cast("int")))
     hit = F.coalesce(F.col("true_rank") == 1, F.lit(False))
     d = metrics(t).withColumn("gap", gap)
     g = d.groupingSets([["species"], ["gap"]], "species", "gap")
@@ -96,10 +102,14 @@ def split_overlap(t):
     return g.where("vec_id % 2 = 0").select("individual_id").intersect(g.where("vec_id % 2 = 1").select("individual_id"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AS accepted FROM embeddings")
+@query("""WITH n AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 63 ELSE 64 END AS d FROM embeddings WHERE vec_id % 4 <> 1) SELECT vec_id, CAST(64 AS INT) AS dimension, vec_id % 2 = 0 AS was_there FROM embeddings
+WHERE vec_id % 2 = 0 OR vec_id IN (SELECT vec_id FROM n WHERE d = 64)""")
 def gallery_append(t):
-    good, bad = vectors.checked_dimension(t.embeddings, 64)
-    return good.select("vec_id", F.lit(True).alias("accepted")).unionByName(bad.select("vec_id", F.lit(False).alias("accepted")))
+    """A gallery of every other vector, to which three in four are appended: some known already, some of a wrong length."""
+    e = t.embeddings.select("vec_id", "embedding")
+    gallery = e.where("vec_id % 2 = 0")
+    new = e.where("vec_id % 4 <> 1").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    return vectors.appended(gallery, new, 64).select("vec_id", F.size("embedding").alias("dimension"), (F.col("vec_id") % 2 == 0).alias("was_there"))
 
 
 @query("""WITH p AS (SELECT g / 10.0::DOUBLE AS strong, avg(CAST(is_match AS INT)) AS precision FROM v_pairs, range(2, 10) AS x(g) WHERE score >= g / 10.0::DOUBLE GROUP BY g),
@@ -123,7 +133,9 @@ xs AS (SELECT * FROM pr WHERE gap_days BETWEEN 30 AND 730 QUALIFY row_number() O
 
 
 def sessions(t):
-    return evaluation.photo_sessions(t.v_pictures)
+    """Pictures with their organisation, which is read from their address."""
+    url = F.concat_ws("/", F.lit("https://cdn.rescuegroups.org"), F.col("org").cast("string"), F.lit("pictures/animals"), F.col("picture").cast("string"))
+    return evaluation.photo_sessions(t.v_pictures.withColumn("org", evaluation.organisation(url)))
 
 
 @query(f"WITH {SESS} SELECT animal, picture, session FROM ss")
@@ -143,7 +155,7 @@ def eval_labels(t):
 
 
 @query(f"""WITH {XS}, c AS (SELECT animal, max(session) AS s FROM ss GROUP BY animal), g AS (SELECT list_sort(list(gap_days)) AS g, count(*) AS n FROM xs)
-SELECT (SELECT count(*) FROM c) AS animals, (SELECT count(*) FROM c WHERE s > 0) AS multi_session, n AS eligible, g[CAST(floor(n / 4) AS INT) + 1] AS p25, g[CAST(floor(n / 2) AS INT) + 1] AS median, g[CAST(floor(3 * n / 4) AS INT) + 1] AS p75 FROM g""")
+SELECT (SELECT count(*) FROM c) AS animals, (SELECT count(DISTINCT animal) FROM ss WHERE picture IS NOT NULL) AS with_pictures, (SELECT count(*) FROM c WHERE s > 0) AS multi_session, (SELECT count(DISTINCT org) FROM ss) AS orgs, n AS eligible, g[CAST(floor(n / 4) AS INT) + 1] AS p25, g[CAST(floor(n / 2) AS INT) + 1] AS median, g[CAST(floor(3 * n / 4) AS INT) + 1] AS p75 FROM g""")
 def manifest_stats(t):
     s = sessions(t)
     d = evaluation.manifest_statistics(evaluation.session_pairs(s), s)
@@ -162,5 +174,5 @@ def eval_samples(t):
     """Samples from paths <species>/<individual>/<image>: only image files count, and a path without a folder has no species."""
     ext = F.when(F.col("picture") % 5 < 3, F.element_at(F.array(F.lit("jpg"), F.lit("PNG"), F.lit("webp")), (F.col("picture") % 5 + 1).cast("int"))).otherwise("txt")
     paths = t.v_pictures.select(F.concat_ws("/", F.lit("/data"), "species", F.col("animal").cast("string"), F.concat(F.col("picture").cast("string"), F.lit("."), ext)).alias("path"))
-    part = lambda k: F.regexp_extract("path", r"/([^/]+)/([^/]+)/([^/]+)\.(?i:jpg|jpeg|png|webp)$", k)
-    return paths.where(part(1) != "").select(part(2).cast("bigint").alias("individual_id"), part(3).cast("bigint").alias("picture"), part(1).alias("species"))
+    d = feeds.eval_samples(paths)
+    return d.select(F.col("individual_id").cast("bigint").alias("individual_id"), F.regexp_extract("path", r"([0-9]+)\.[^/]*$", 1).cast("bigint").alias("picture"), "species")

@@ -37,8 +37,11 @@ def shown(d, *more):
 @query(f"""SELECT animal_id AS source_animal_id, {SPECIES} AS species, CASE intake_type WHEN 'STRAY' THEN 'stray' WHEN 'FOUND REPORT' THEN 'found_report' WHEN 'OWNER SURRENDER' THEN 'owner_surrender' WHEN 'TRANSFER' THEN 'transfer' ELSE 'unknown' END AS intake_type,
 {AVAIL} AS availability, {CHIP} AS chip_status, coalesce(color, '') AS colors, {SEEN.format("TIMESTAMP '" + NOW_TEXT + "'")} AS last_seen FROM ({FLAT_DUCK}) WHERE {SPECIES} IS NOT NULL""")
 def normalize_mapped(t):
-    good, _ = feeds.split_rejected(feeds.normalize_mapped(flat(t), MAP, "austin", now()))
-    return shown(good)
+    return shown(normalized_flat(t))
+
+
+def normalized_flat(t):
+    return feeds.split_rejected(feeds.normalize_mapped(flat(t), MAP, "austin", now()))[0]
 
 
 @query(f"""SELECT animal_id AS source_animal_id, {SPECIES} AS species, CASE intake_type WHEN 'STRAY' THEN 'stray' WHEN 'FOUND REPORT' THEN 'found_report' ELSE 'unknown' END AS intake_type,
@@ -64,40 +67,70 @@ def normalize_geojson(t):
     return shown(good)
 
 
+ONE = "struct<type:string,id:string>"
+JSONAPI = (
+    "data array<struct<id:string,attributes:struct<sex:string,ageString:string,sizeGroup:string,breedPrimary:string,breedString:string,updatedDate:string,createdDate:string>,"
+    f"relationships:struct<colors:array<{ONE}>,pictures:array<{ONE}>,locations:array<{ONE}>,orgs:array<{ONE}>>>>, "
+    "included array<struct<type:string,id:string,attributes:struct<name:string,url:string,city:string,state:string,lat:double,lon:double>>>"
+)
+
+
+def normalized_jsonapi(t):
+    """Pages of a hundred animals. One in five has no location but an organisation, one in seven a location that isn't included."""
+    n = F.col("event_id")
+    ref = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.cast("string").alias("id"))
+    even = n % 2 == 0
+    attributes = F.struct(F.when(n % 3 == 0, "Beagle").alias("breedPrimary"), F.when(n % 3 == 1, "Mixed").alias("breedString"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updatedDate"))
+    relations = F.struct(
+        F.when(even, F.array(ref("colors", F.lit(1)), ref("colors", F.lit(2)))).otherwise(F.array(ref("colors", F.lit(2)), ref("colors", F.lit(9)))).alias("colors"),
+        F.when(even, F.array(ref("pictures", n))).alias("pictures"),
+        F.when(n % 5 > 0, F.array(ref("locations", F.when(n % 7 == 0, F.lit(99)).otherwise(n % 4)))).alias("locations"),
+        F.when(n % 5 == 0, F.array(ref("orgs", F.lit(5)))).alias("orgs"),
+    )
+    animal = F.struct(n.cast("string").alias("id"), attributes.alias("attributes"), relations.alias("relationships"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def item(kind, i, name=text, url=text, city=text, state=text, lat=number, lon=number):
+        own = {"name": name, "url": url, "city": city, "state": state, "lat": lat, "lon": lon}
+        return F.struct(F.lit(kind).alias("type"), i.cast("string").alias("id"), F.struct(*[v.alias(k) for k, v in own.items()]).alias("attributes"))
+
+    url = F.concat(F.lit("https://img.example/"), n.cast("string"), F.lit(".jpg"))
+    w = F.lit
+    fixed = F.array(
+        item("colors", w(1), w("Black")), item("colors", w(2), w("Tan")), item("locations", w(0), city=w("Austin"), state=w("TX"), lat=w(30.267), lon=w(-97.743)), item("locations", w(1), city=w(""), state=w("CA"), lat=w(34.0), lon=w(-118.25)),
+        item("locations", w(2), lat=w(1.0), lon=w(2.0)), item("locations", w(3), city=w("Nowhere")), item("orgs", w(5), city=w("Dallas"), state=w("TX"), lat=w(32.78), lon=w(-96.8)),
+    )
+    pages = t.ev.groupBy(F.floor(n / 100).alias("page")).agg(F.to_json(F.struct(F.collect_list(animal).alias("data"), F.concat(fixed, F.collect_list(item("pictures", n, url=url))).alias("included"))).alias("json"))
+    return feeds.normalize_jsonapi(pages.select(F.from_json("json", JSONAPI).alias("j")).select("j.*", F.lit("dog").alias("species")), now())
+
+
+SPOT = "CASE WHEN event_id % 5 = 0 THEN 5 WHEN event_id % 7 = 0 THEN 99 ELSE event_id % 4 END"
+
+
 @query(f"""SELECT CAST(event_id AS VARCHAR) AS source_animal_id, 'dog' AS species, CASE event_id % 3 WHEN 0 THEN 'Beagle' WHEN 1 THEN 'Mixed' END AS breed_primary, CASE event_id % 2 WHEN 0 THEN 'Black,Tan' ELSE 'Tan' END AS colors,
-CASE event_id % 2 WHEN 0 THEN 'https://img.example/' || event_id || '.jpg' ELSE '' END AS photo, floor(epoch(ts)) * 1000000 AS last_seen FROM ev""")
+CASE event_id % 2 WHEN 0 THEN 'https://img.example/' || event_id || '.jpg' ELSE '' END AS photo, floor(epoch(ts)) * 1000000 AS last_seen, CASE {SPOT} WHEN 0 THEN 'Austin' WHEN 1 THEN 'CA' WHEN 3 THEN 'Nowhere' WHEN 5 THEN 'Dallas' END AS city_county,
+CASE {SPOT} WHEN 0 THEN 'TX' WHEN 1 THEN 'CA' WHEN 5 THEN 'TX' END AS state, CAST(CASE {SPOT} WHEN 0 THEN 30.27 WHEN 1 THEN 34.0 WHEN 5 THEN 32.78 END AS DOUBLE) AS lat, CAST(CASE {SPOT} WHEN 0 THEN -97.74 WHEN 1 THEN -118.25 WHEN 5 THEN -96.8 END AS DOUBLE) AS lon FROM ev""")
 def normalize_jsonapi(t):
-    ref = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.cast("string").alias("id"))
-    e = t.ev.withColumn("page", F.floor(F.col("event_id") / 100))
-    even = F.col("event_id") % 2 == 0
-    attributes = F.struct(F.when(F.col("event_id") % 3 == 0, "Beagle").alias("breedPrimary"), F.when(F.col("event_id") % 3 == 1, "Mixed").alias("breedString"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updatedDate"))
-    colors = F.when(even, F.array(ref("colors", F.lit(1)), ref("colors", F.lit(2)))).otherwise(F.array(ref("colors", F.lit(2)), ref("colors", F.lit(9))))
-    pictures = F.when(even, F.array(ref("pictures", F.col("event_id"))))
-    animal = F.struct(F.col("event_id").cast("string").alias("id"), attributes.alias("attributes"), F.struct(colors.alias("colors"), pictures.alias("pictures")).alias("relationships"))
-    item = lambda kind, i, name, url: F.struct(F.lit(kind).alias("type"), i.cast("string").alias("id"), F.struct(name.alias("name"), url.alias("url")).alias("attributes"))
-    nothing = F.lit(None).cast("string")
-    url = F.concat(F.lit("https://img.example/"), F.col("event_id").cast("string"), F.lit(".jpg"))
-    fixed = F.array(item("colors", F.lit(1), F.lit("Black"), nothing), item("colors", F.lit(2), F.lit("Tan"), nothing))
-    pages = e.groupBy("page").agg(F.to_json(F.struct(F.collect_list(animal).alias("data"), F.concat(fixed, F.collect_list(item("pictures", F.col("event_id"), nothing, url))).alias("included"))).alias("json"))
-    one = "struct<type:string,id:string>"
-    schema = f"data array<struct<id:string,attributes:struct<sex:string,ageString:string,sizeGroup:string,breedPrimary:string,breedString:string,updatedDate:string,createdDate:string>,relationships:struct<colors:array<{one}>,pictures:array<{one}>>>>, included array<struct<type:string,id:string,attributes:struct<name:string,url:string>>>"
-    parsed = pages.select(F.from_json("json", schema).alias("j")).select("j.*", F.lit("dog").alias("species"))
-    d = feeds.normalize_jsonapi(parsed, now())
-    return d.select("source_animal_id", "species", "breed_primary", F.array_join("colors", ",").alias("colors"), F.coalesce(F.get("photos", 0)["url"], F.lit("")).alias("photo"), F.unix_micros("last_seen").cast("double").alias("last_seen"))
+    colors, photo = F.array_join("colors", ",").alias("colors"), F.coalesce(F.get("photos", 0)["url"], F.lit("")).alias("photo")
+    return normalized_jsonapi(t).select("source_animal_id", "species", "breed_primary", colors, photo, F.unix_micros("last_seen").cast("double").alias("last_seen"), "city_county", "state", "lat", "lon")
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS source_animal_id, CASE WHEN user_id % 2 = 0 THEN 'dog' ELSE 'cat' END AS species, CASE WHEN k % 2 = 0 THEN 'helpinglostpets' ELSE 'petfbi' END AS source_name,
 CASE WHEN event_type = 'view' THEN 'lost_report' ELSE 'found_report' END AS intake_type, CASE WHEN event_type = 'view' THEN 'missing' ELSE 'available' END AS availability,
 CASE event_id % 3 WHEN 0 THEN 'Austin, TX' WHEN 1 THEN 'TX' END AS found_location_text, CASE WHEN k % 3 = 0 THEN '© ' || CASE WHEN k % 2 = 0 THEN 'helpinglostpets' ELSE 'petfbi' END ELSE '' END AS attribution FROM ev""")
 def normalize_community(t):
+    d = normalized_community(t)
+    return d.select("source_animal_id", "species", "source_name", "intake_type", "availability", "found_location_text", F.coalesce(F.get("photos", 0)["attribution"], F.lit("")).alias("attribution"))
+
+
+def normalized_community(t):
     text = F.lit(None).cast("string")
     r = F.struct(
         F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "view", "lost").otherwise("found").alias("type"), F.when(F.col("k") % 2 == 0, "Help").otherwise("pfb").alias("source"), F.when(F.col("user_id") % 2 == 0, "dog").otherwise("Cat").alias("species"),
         text.alias("breed"), text.alias("sex"), text.alias("age"), text.alias("size"), F.array(F.lit("Tan")).alias("colors"), F.when(F.col("k") % 3 == 0, "https://img.example/x.jpg").alias("photo_url"), F.when(F.col("event_id") % 3 == 0, "Austin").alias("city"),
         F.when(F.col("event_id") % 3 < 2, "TX").alias("state"), text.alias("date_lost"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_found"), text.alias("date_created"),
     )
-    d = feeds.normalize_community(t.ev.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.collect_list(r).alias("reports")), now())
-    return d.select("source_animal_id", "species", "source_name", "intake_type", "availability", "found_location_text", F.coalesce(F.get("photos", 0)["attribution"], F.lit("")).alias("attribution"))
+    return feeds.normalize_community(t.ev.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.collect_list(r).alias("reports")), now())
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
@@ -134,10 +167,14 @@ def parse_place_text(t):
     return t.v_place_text.select("place_id", p["zip"].alias("zip"), p["city"].alias("city"), p["state"].alias("state"))
 
 
-@query(f"""WITH p AS ({PLACE}) SELECT place_id, coalesce(z.lat, c.lat) AS lat, coalesce(z.lon, c.lon) AS lon, CASE WHEN coalesce(z.lat, c.lat) IS NULL THEN 'not_resolved' ELSE 'filled' END AS outcome
+@query(f"""WITH p AS ({PLACE}) SELECT place_id, CASE WHEN place_id % 8 = 1 THEN 1.5 ELSE coalesce(z.lat, c.lat) END AS lat, CASE WHEN place_id % 8 = 1 THEN 2.5 ELSE coalesce(z.lon, c.lon) END AS lon,
+CASE WHEN place_id % 8 = 1 THEN 'already_set' WHEN coalesce(z.lat, c.lat) IS NULL THEN 'not_resolved' ELSE 'filled' END AS outcome, CASE WHEN place_id % 8 <> 1 AND coalesce(z.lat, c.lat) IS NOT NULL THEN 'found_text' END AS located_by
 FROM p LEFT JOIN (SELECT * FROM v_gazetteer WHERE kind = 'Z') z ON p.zip = z.zip LEFT JOIN (SELECT * FROM v_gazetteer WHERE kind = 'P') c ON p.city = lower(c.name) AND p.state = c.state""")
 def geocode_places(t):
-    return geocode.geocode(t.v_place_text, t.v_gazetteer).select("place_id", "lat", "lon", "outcome")
+    """One place in eight has coordinates, which stay."""
+    known = F.col("place_id") % 8 == 1
+    rows = t.v_place_text.withColumns({"lat": F.when(known, 1.5), "lon": F.when(known, 2.5)})
+    return geocode.geocode(rows, t.v_gazetteer).select("place_id", "lat", "lon", "outcome", "located_by")
 
 
 TEXT = "lower(title || ' ' || description)"
@@ -206,4 +243,4 @@ def id_map_count(t):
     """Entries of an id map, a JSON array of pairs per file, counted as list entries."""
     pairs = t.embeddings.select((F.floor(F.col("vec_id") / 2)).alias("doc"), F.array(F.col("vec_id").cast("string"), F.lit("dog")).alias("p"))
     files = pairs.groupBy("doc").agg(F.to_json(F.collect_list("p")).alias("json"))
-    return files.select("doc", F.size(F.from_json("json", "array<array<string>>")).cast("bigint").alias("pairs"))
+    return feeds.id_map_counts(files)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, parse
 from ..functions import score as sc
-from ..operators import match
+from ..operators import match, near
+from ..operators.rounds import stored
+from .hits import HITS, photo_hits
 from .registry import query
 from .views import NOW_TEXT
 
@@ -65,13 +67,19 @@ def match_candidates(t):
     return pairs_of(t).select("canonical_id", "report_id")
 
 
-@query(f"""WITH p AS ({PAIRS}), s AS (SELECT *, {FUSED} AS score, CASE WHEN TIMESTAMP '2024-01-18 00:00:00' < ({HOLD}) THEN {HOLD} END AS until FROM p),
+VISUAL_PAIRS = PAIRS.replace(f"CAST({VIS} AS DOUBLE) AS vis", "h.score AS vis").replace(" WHERE i.availability", f" LEFT JOIN {HITS} h ON h.report_id = r.report_id AND h.candidate_id = i.canonical_id WHERE i.availability")
+
+
+@query(f"""WITH p AS ({VISUAL_PAIRS}), s AS (SELECT *, {FUSED} AS score, CASE WHEN TIMESTAMP '2024-01-18 00:00:00' < ({HOLD}) THEN {HOLD} END AS until FROM p),
 n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY until IS NULL, round(score, 9) DESC, canonical_id) AS rank FROM s)
 SELECT report_id, CAST(rank AS INT) AS rank, canonical_id, round(score, 6) AS score, {BUCKET} AS bucket, epoch_us(until) AS reclaimable_until, {NARRATIVE} AS narrative FROM n WHERE rank <= 20""")
 def match_ranked(t):
+    """The shortlist of every active report; photos are compared where both sides have one."""
     now = F.lit("2024-01-18 00:00:00").cast("timestamp")  # inside the data's month, so that some holds are open
-    d = match.explained(match.ranked(fused(t), now))
-    return d.select("report_id", "rank", "canonical_id", F.round("score", 6).alias("score"), "bucket", F.unix_micros(F.col("reclaimable_until").cast("timestamp")).alias("reclaimable_until"), "narrative")
+    visual = photo_hits(t).select("report_id", F.col("candidate_id").alias("canonical_id"), F.col("score").alias("visual_score"))
+    d = match.explained(match.best(t.v_intake, active(t), now, 20, stored(visual, "visual")))
+    until = F.unix_micros(F.col("reclaimable_until").cast("timestamp"))
+    return d.select("report_id", "rank", "canonical_id", F.round("score", 6).alias("score"), "bucket", until.alias("reclaimable_until"), "narrative")
 
 
 @query(f"SELECT report_id, canonical_id, round(vis, 6) AS visual_score, round(attr, 6) AS attribute_score FROM ({PAIRS})")
@@ -116,14 +124,12 @@ def coarsen(t):
     return t.events.select("event_id", geo.coarsen(v * 1.005, 2).alias("two"), (geo.coarsen(-v, 1) + F.lit(0.0)).alias("one"), geo.coarsen(v, 0).alias("none"))
 
 
-@query(f"SELECT a.canonical_id AS a, b.canonical_id AS b, round({km('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 5) AS km FROM v_intake a JOIN v_intake b ON a.user_id = b.user_id + 1 WHERE a.event_id % 4 = b.event_id % 4 AND {km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60")
+@query(f"SELECT i.canonical_id, r.report_id, round({KM}, 5) AS km FROM v_intake i JOIN v_lost_report r ON {KM} <= 40")
 def geo_radius_join(t):
-    """Neighbouring users' intakes within 60 km: the range join with unknown coordinates failing, blocked by cell."""
-    size = 60 / geo.KM_PER_DEGREE
-    a = t.v_intake.where("lat is not null").select(F.col("canonical_id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("user_id").alias("u"), (F.col("event_id") % 4).alias("e"), F.floor(F.col("lat") / size).alias("cell"))
-    b = t.v_intake.where("lat is not null").select(F.col("canonical_id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), (F.col("user_id") + 1).alias("u"), (F.col("event_id") % 4).alias("e"), F.explode(F.sequence(F.floor(F.col("lat") / size) - 1, F.floor(F.col("lat") / size) + 1)).alias("cell"))
-    d = geo.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, ["u", "e", "cell"]).where(d <= 60).select("a", "b", F.round(d, 5).alias("km"))
+    """Intakes within 40 km of a report, whatever their species; unknown coordinates fail."""
+    a = t.v_intake.select("canonical_id", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    b = t.v_lost_report.select("report_id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    return near.within(a, b, 40).select("canonical_id", "report_id", F.round("km", 5).alias("km"))
 
 
 @query("""WITH u AS (SELECT DISTINCT photos[1] AS url, photos[2] AS other FROM v_intake WHERE len(photos) = 2),
@@ -140,14 +146,13 @@ def photo_hash_distance(t):
 def federated_sides(t):
     v = t.v_intake
     photo = F.coalesce(F.get("photos", 0), F.lit(""))
-    cols = [F.col("event_id").alias("pos"), "species", "intake_date", "lat", "lon", photo.alias("photo"), "canonical_id"]
+    cols = [F.col("event_id").alias("pos"), "species", "intake_date", "first_seen", "lat", "lon", photo.alias("photo"), "canonical_id", "source_name"]
     return v.where("intake_type = 'stray'").select(*cols), v.where("intake_type = 'found_report'").select(*cols)
 
 
-HASH = "list_reduce([CAST(ascii(x) AS HUGEINT) for x in string_split(photos[1], '')], lambda h, c: (xor(h, c) * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT), CAST(14695981039346656037 AS HUGEINT))"
-FED = f"""WITH h AS (SELECT event_id, species, intake_date, lat, lon, intake_type, CASE WHEN len(photos) > 0 THEN {HASH} END AS hash FROM v_intake WHERE intake_type IN ('stray', 'found_report')),
-s AS (SELECT * FROM h WHERE intake_type = 'stray'), f AS (SELECT * FROM h WHERE intake_type = 'found_report')
-SELECT s.event_id AS s_pos, f.event_id AS f_pos FROM s JOIN f ON s.species = f.species WHERE ({days('s.intake_date', 'f.intake_date')} IS NULL OR {days('s.intake_date', 'f.intake_date')} <= 7)
+PHOTO_HASH = "CASE WHEN len(photos) > 0 THEN list_reduce([CAST(ascii(x) AS HUGEINT) for x in string_split(photos[1], '')], lambda h, c: (xor(h, c) * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT), CAST(14695981039346656037 AS HUGEINT)) END"
+FED = f"""SELECT s.event_id AS s_pos, f.event_id AS f_pos FROM (SELECT *, {PHOTO_HASH} AS hash, coalesce(intake_date, first_seen) AS at FROM v_intake WHERE intake_type = 'stray') s
+JOIN (SELECT *, {PHOTO_HASH} AS hash, coalesce(intake_date, first_seen) AS at FROM v_intake WHERE intake_type = 'found_report') f ON s.species = f.species WHERE {days('s.at', 'f.at')} <= 7
 AND ({km('s.lat', 's.lon', 'f.lat', 'f.lon')} IS NULL OR {km('s.lat', 's.lon', 'f.lat', 'f.lon')} <= 10) AND (s.hash IS NULL OR f.hash IS NULL OR bit_count(xor(s.hash, f.hash)) / CAST(64 AS DOUBLE) <= 0.15)"""
 
 
@@ -156,13 +161,20 @@ def federated_candidates(t):
     return match.federated_pairs(*federated_sides(t))
 
 
-@query()
+# one step of the recursion serves one found report: it takes the first on its list that none before it took
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT f_pos, list(s_pos ORDER BY s_pos) AS wanted, row_number() OVER (ORDER BY f_pos) AS n FROM ({FED}) GROUP BY f_pos),
+served AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS f_pos, CAST(NULL AS BIGINT) AS s_pos, CAST([] AS BIGINT[]) AS taken
+UNION ALL SELECT n, f_pos, s_pos, CASE WHEN s_pos IS NULL THEN taken ELSE list_append(taken, s_pos) END FROM (
+SELECT o.n, o.f_pos, list_filter(o.wanted, lambda x: NOT list_contains(served.taken, x))[1] AS s_pos, served.taken FROM served JOIN o ON o.n = served.n + 1))
+SELECT s.canonical_id, f.canonical_id AS federated_id, concat_ws(',', s.source_name, f.source_name) AS provenances, epoch_us(f.first_seen) AS fetched_at
+FROM (SELECT * FROM v_intake WHERE intake_type = 'stray') s LEFT JOIN (SELECT f_pos, s_pos FROM served WHERE s_pos IS NOT NULL) m ON m.s_pos = s.event_id LEFT JOIN v_intake f ON f.event_id = m.f_pos""")
 def federated_merge(t):
-    """Shelter records with the one found report that each took, in the order of the reports."""
+    """Shelter records with the one found report that each took, in the order of the reports, and the provenances of both."""
     shelter, found = federated_sides(t)
-    took = match.one_to_one(match.federated_pairs(shelter, found))
-    named = took.join(found.select(F.col("pos").alias("f_pos"), F.col("canonical_id").alias("federated_id")), "f_pos")
-    return shelter.join(named, shelter["pos"] == named["s_pos"], "left").select("canonical_id", "federated_id")
+    d = match.reconciled(shelter, found)
+    named = found.select(F.col("pos").alias("federated_pos"), F.col("canonical_id").alias("federated_id"))
+    sources = F.array_join(F.transform("provenances", lambda p: p["source"]), ",").alias("provenances")
+    return d.join(named, "federated_pos", "left").select("canonical_id", "federated_id", sources, F.unix_micros(F.get("provenances", 1)["fetched_at"].cast("timestamp")).alias("fetched_at"))
 
 
 RAW = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN ' Dog' WHEN 1 THEN 'feline' WHEN 2 THEN 'CANINE ' WHEN 3 THEN 'cat' WHEN 4 THEN 'bird' WHEN 5 THEN NULL ELSE 'DOG' END AS s FROM events"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import match, reports
+from .hits import HITS, photo_hits
 from .registry import query
 from .views import NOW_TEXT
 
@@ -42,27 +43,32 @@ def report_lifecycle(t):
     return reports.lifecycle(t.v_lost_report, actions, now())
 
 
-CAND = "SELECT DISTINCT report_id, candidate_id FROM v_candidate WHERE score >= 0.8"
+CAND = f"SELECT DISTINCT report_id, candidate_id, species FROM {HITS} WHERE score >= 0.3"
 NEW = f"SELECT c.* FROM ({CAND}) c WHERE NOT EXISTS (SELECT 1 FROM v_ledger l WHERE l.report_id = c.report_id AND l.candidate_id = c.candidate_id AND outcome <> 'Suppressed')"
 
 
-@query(NEW)
+def somewhat_alike(t):
+    """Hits at a low threshold, at which there are many."""
+    return photo_hits(t).where("score >= 0.3")
+
+
+@query(f"SELECT report_id, candidate_id FROM ({NEW})")
 def new_alerts(t):
-    return reports.new_alerts(t.v_candidate.where("score >= 0.8").select("report_id", "candidate_id"), t.v_ledger)
+    return reports.new_alerts(somewhat_alike(t).select("report_id", "candidate_id"), t.v_ledger)
 
 
-@query(f"SELECT report_id, candidate_id, r.species FROM ({NEW}) a JOIN v_lost_report r USING (report_id) WHERE r.status = 'active'")
+@query(f"SELECT a.report_id, a.candidate_id, r.species FROM ({NEW}) a JOIN v_lost_report r ON r.report_id = a.report_id AND r.species = a.species WHERE r.status = 'active'")
 def alert_join(t):
-    """Candidates of 0.8 or more of active reports, each pair once and never twice."""
-    strong = t.v_candidate.where("score >= 0.8").select("report_id", "candidate_id")
-    active = t.v_lost_report.where("status = 'active'").select("report_id", "species")
-    return reports.new_alerts(strong.join(active, "report_id"), t.v_ledger)
+    """Alerts for active reports of the candidate's species, each pair once and never twice."""
+    return match.alerts(photo_hits(t), t.v_lost_report, t.v_ledger, threshold=0.3)
 
 
-@query(f"""SELECT report_id, string_agg(candidate_id, ',' ORDER BY candidate_id) AS alerts, count(*) AS n FROM ({CAND}) GROUP BY report_id""")
+@query(f"""SELECT report_id, string_agg(candidate_id, ',' ORDER BY alerted_at, candidate_id) AS alerts, count(*) AS n
+FROM (SELECT c.report_id, c.candidate_id, (SELECT max(last_seen) FROM v_intake i WHERE i.canonical_id = c.candidate_id) AS alerted_at FROM ({CAND}) c) GROUP BY report_id""")
 def alerts_by_report(t):
-    d = t.v_candidate.where("score >= 0.8").select("report_id", "candidate_id").distinct()
-    return d.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list("candidate_id")), ",").alias("alerts"), F.count("*").alias("n"))
+    """A report's alerts in the order of time: an alert is raised when its animal is seen."""
+    at = t.v_intake.select(F.col("canonical_id").alias("candidate_id"), F.col("last_seen").alias("alerted_at"))
+    return reports.alerts_by_report(somewhat_alike(t).select("report_id", "candidate_id").join(at, "candidate_id"))
 
 
 @query("""SELECT canonical_id, 'A possible match for your ' || species || ' appeared at ' || city_county || coalesce(', ' || state, '') || ' — please review the animal at the shelter listing to confirm.' ||
@@ -80,9 +86,13 @@ LINE = "coalesce(nullif(concat_ws(', ', city, state, zip_code), ''), 'location n
 @query(f"""SELECT report_id, 'LOST PET — PLEASE HELP' || chr(10) || '=======================' || chr(10) || 'Animal      : ' || upper(left(species, 1)) || substr(species, 2) || coalesce(' (' || breed_primary || ')', '') || chr(10) || 'Last seen   : ' || {LINE} || chr(10) ||
 'Report date : ' || strftime(created, '%Y-%m-%d') || chr(10) || 'Contact (via relay) : ' || {TOKEN} || chr(10) || chr(10) || 'Please post this flyer to local lost-pet groups.' || chr(10) || 'Report ID   : ' || report_id || chr(10) AS flyer,
 'LOST: Unknown (' || species || ' / ' || coalesce(breed_primary, 'mixed') || ')' || chr(10) || 'Last seen: ' || {LINE} || ' on ' || strftime(created, '%Y-%m-%d') || chr(10) || 'Description: ' || coalesce(nullif(left(concat_ws(', ', nullif(array_to_string(colors, ', '), ''), description), 100), ''), '(none)') || chr(10) ||
-'Photo: ' || coalesce(photos[1], 'none') || chr(10) || 'Contact: https://relay.example/relay/' || {TOKEN} || chr(10) || '---' || chr(10) || 'Please post to local groups with this flyer.' || chr(10) AS short_flyer FROM v_lost_report""")
+'Photo: ' || coalesce(CASE WHEN n % 2 = 0 AND len(photos) > 0 THEN 'https://img.example/primary.jpg' END, photos[1], 'none') || chr(10) || 'Contact: https://relay.example/relay/' || {TOKEN} || chr(10) || '---' || chr(10) || 'Please post to local groups with this flyer.' || chr(10) AS short_flyer FROM v_lost_report""")
 def flyer_text(t):
-    return t.v_lost_report.select("report_id", reports.flyer(token()).alias("flyer"), reports.short_flyer(token()).alias("short_flyer"))
+    # even reports have a second photo, which is marked as the primary one
+    first = F.transform("photos", lambda p: F.struct(p.alias("url"), F.lit(False).alias("is_primary")))
+    second = F.array(F.struct(F.lit("https://img.example/primary.jpg").alias("url"), F.lit(True).alias("is_primary")))
+    marked = F.when((F.col("n") % 2 == 0) & (F.size("photos") > 0), F.concat(first, second)).otherwise(first)
+    return t.v_lost_report.select("report_id", reports.flyer(token()).alias("flyer"), reports.short_flyer(token(), marked).alias("short_flyer"))
 
 
 @query(f"""SELECT report_id, species, breed_primary, city, state, zip_code, {TOKEN} AS token, len(photos) AS n_photos, photos[1] AS photo, strftime(created, '%Y-%m-%dT%H:%M:%SZ') AS created FROM v_lost_report""")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import reports, search
+from .hits import HITS, photo_hits
 from .match_queries import km
 from .registry import query
 
@@ -35,9 +36,9 @@ def pet_summary(t):
     return search.summary(t.v_intake).withColumn("photo_urls", F.array_join("photo_urls", " "))
 
 
-@query("SELECT report_id, species, status, epoch_us(expires) AS expires FROM v_lost_report WHERE status = 'active'")
+@query("SELECT report_id, species, status, epoch_us(expires) AS expires, 'tok_' || left(sha256('pepper' || contact), 16) AS contact_token FROM v_lost_report WHERE status = 'active'")
 def active_reports(t):
-    return t.v_lost_report.where("status = 'active'").select("report_id", "species", "status", F.unix_micros(F.col("expires").cast("timestamp")).alias("expires"))
+    return reports.summary(t.v_lost_report.where("status = 'active'"), "pepper").withColumn("expires", F.unix_micros(F.col("expires").cast("timestamp")))
 
 
 @query("SELECT canonical_id, 'stray is adoptable' AS conflict FROM v_intake WHERE intake_type = 'stray' AND availability = 'adoptable'")
@@ -50,14 +51,20 @@ def photo_bearing(t):
     return t.v_intake.where(F.size("photos") > 0).select("canonical_id")
 
 
-@query("""SELECT 'flat' AS feed, canonical_id FROM v_intake WHERE source_name = 'src0' AND last_seen > TIMESTAMP '2024-01-20 00:00:00'
-UNION ALL SELECT 'jsonapi', canonical_id FROM v_intake WHERE source_name = 'src1' AND last_seen >= TIMESTAMP '2024-01-20 00:00:00'""")
+CURSOR = "2024-01-20 00:00:00"
+
+
+@query(f"""SELECT CASE user_id % 5 WHEN 0 THEN 'flat' WHEN 1 THEN 'nested' WHEN 2 THEN 'geojson' WHEN 3 THEN 'jsonapi' ELSE 'community' END AS feed, canonical_id FROM v_intake
+WHERE CASE user_id % 5 WHEN 3 THEN last_seen >= TIMESTAMP '{CURSOR}' WHEN 2 THEN floor(epoch_us(last_seen) / 1000) > epoch_us(TIMESTAMP '{CURSOR}') / 1000 ELSE last_seen > TIMESTAMP '{CURSOR}' END""")
 def delta_since(t):
-    """Rows beyond a feed's cursor; one family reads the boundary again."""
-    cursor = at("2024-01-20 00:00:00")
-    flat = t.v_intake.where((F.col("source_name") == "src0") & (F.col("last_seen") > cursor))
-    api = t.v_intake.where((F.col("source_name") == "src1") & (F.col("last_seen") >= cursor))
-    return flat.select(F.lit("flat").alias("feed"), "canonical_id").unionByName(api.select(F.lit("jsonapi").alias("feed"), "canonical_id"))
+    """Rows beyond each feed's cursor: GeoJSON counts milliseconds, JSON:API reads the boundary again."""
+    feed = F.element_at(F.array(*[F.lit(x) for x in ("flat", "nested", "geojson", "jsonapi", "community")]), (F.col("user_id") % 5 + 1).cast("int"))
+    d = t.v_intake.withColumn("feed", feed)
+    parts = [search.since_cursor(d.where(F.col("feed") == f), F.col("last_seen").cast("timestamp"), at(CURSOR), f) for f in ("flat", "nested", "geojson", "jsonapi", "community")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("feed", "canonical_id")
 
 
 @query("SELECT canonical_id, species, availability FROM v_intake WHERE canonical_id = lpad('77', 26, '0')")
@@ -87,7 +94,7 @@ def list_by_species(t):
     return t.v_intake.where("species = 'dog'").select("canonical_id", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_seen")).orderBy(F.col("last_seen").desc())
 
 
-@query("""SELECT report_id, candidate_id, vec_id, 'This animal has a similarity score of ' || printf('%.1f', score * 100) || '% — please review in person to confirm.' AS explanation FROM v_candidate ORDER BY score DESC, report_id, candidate_id, vec_id LIMIT 50""")
+@query(f"""SELECT report_id, candidate_id, 'This animal has a similarity score of ' || printf('%.1f', score * 100) || '% — please review in person to confirm.' AS explanation FROM {HITS} ORDER BY round(score, 9) DESC, report_id, candidate_id LIMIT 50""")
 def similarity_shortlist(t):
-    top = t.v_candidate.orderBy(F.col("score").desc(), "report_id", "candidate_id", "vec_id").limit(50)
-    return top.select("report_id", "candidate_id", "vec_id", F.format_string("This animal has a similarity score of %.1f%% — please review in person to confirm.", F.col("score") * 100).alias("explanation"))
+    top = photo_hits(t).orderBy(F.round("score", 9).desc(), "report_id", "candidate_id").limit(50)
+    return top.select("report_id", "candidate_id", search.explanation(F.col("score")).alias("explanation"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluation, match
 from ..streaming import jobs
+from .hits import HITS, photo_hits
 from .registry import query
 
 TICKS = "SELECT source_name, CAST(date_diff('day', DATE '2024-01-01', CAST(last_seen AS DATE)) * 24 + hour(last_seen) AS INT) AS tick, count(*) FILTER (intake_type = 'stray') AS strays FROM v_intake GROUP BY ALL"
@@ -19,25 +21,22 @@ def stray_bursts(t):
     return jobs.bursts(ticks)
 
 
-@query("""SELECT DISTINCT r.report_id, c.candidate_id FROM v_candidate c JOIN v_lost_report r ON c.report_id = r.report_id JOIN v_gallery g ON g.vec_id = c.vec_id AND g.species = r.species
-WHERE r.status = 'active' AND c.score >= 0.8 AND len(r.photos) > 0 AND r.photos[1] NOT LIKE 'data:%' AND NOT EXISTS (SELECT 1 FROM v_ledger l WHERE l.report_id = c.report_id AND l.candidate_id = c.candidate_id AND l.outcome <> 'Suppressed')""")
-def match_alerts(t):
-    """Active reports with a linked photo against strong candidates of their species, without those already alerted."""
-    from ..operators.reports import new_alerts
+LINKED = "status = 'active' AND len(photos) > 0 AND photos[1] NOT LIKE 'data:%'"
+
 
+@query(f"""SELECT report_id, candidate_id, species FROM {HITS} c WHERE knn_rank <= 10 AND score >= 0.8 AND report_id IN (SELECT report_id FROM v_lost_report WHERE {LINKED})
+AND NOT EXISTS (SELECT 1 FROM v_ledger l WHERE l.report_id = c.report_id AND l.candidate_id = c.candidate_id AND l.outcome <> 'Suppressed')""")
+def match_alerts(t):
+    """One tick: the ten nearest animals of each active report with a linked photo; strong ones that weren't alerted yet."""
     photo = F.get("photos", 0)
-    r = t.v_lost_report.where((F.col("status") == "active") & photo.isNotNull() & ~F.startswith(photo, F.lit("data:"))).select("report_id", "species")
-    c = t.v_candidate.where("score >= 0.8").join(t.v_gallery.select("vec_id", "species"), "vec_id")
-    return new_alerts(c.join(r, ["report_id", "species"]).select("report_id", "candidate_id"), t.v_ledger)
+    linked = t.v_report_photo.where((F.col("status") == "active") & photo.isNotNull() & ~F.startswith(photo, F.lit("data:")))
+    return match.alerts(photo_hits(t, linked).where("knn_rank <= 10"), t.v_lost_report, t.v_ledger)
 
 
-@query("""SELECT report_id, CAST(row_number() OVER (PARTITION BY c.report_id ORDER BY c.score DESC, c.candidate_id, c.vec_id) AS INT) AS rank, c.candidate_id, g.species, CASE g.species WHEN 'dog' THEN 0.538::DOUBLE ELSE 0.346::DOUBLE END AS baseline
-FROM v_candidate c JOIN v_gallery g ON g.vec_id = c.vec_id WHERE c.candidate_id = g.canonical_id QUALIFY row_number() OVER (PARTITION BY c.report_id ORDER BY c.score DESC, c.candidate_id, c.vec_id) <= 5""")
+@query(f"""SELECT report_id, CAST(rank AS INT) AS rank, candidate_id, species, baseline FROM (SELECT h.report_id, row_number() OVER (PARTITION BY h.report_id ORDER BY h.knn_rank) AS rank, h.candidate_id, i.species,
+CASE i.species WHEN 'dog' THEN 0.538::DOUBLE WHEN 'cat' THEN 0.346::DOUBLE END AS baseline FROM {HITS} h JOIN v_intake i ON i.canonical_id = h.candidate_id WHERE i.availability <> 'departed') WHERE rank <= 5""")
 def match_photo(t):
-    """Hits that have a record, in their own order, five per report, with the species' published rank-1 rate."""
-    from pyspark.sql import Window
-
-    hits = t.v_candidate.join(t.v_gallery.select("vec_id", "species", "canonical_id"), "vec_id").where("candidate_id = canonical_id")
-    rates = F.broadcast(t.spark.createDataFrame([("dog", 0.538), ("cat", 0.346)], "species string, baseline double"))
-    w = Window.partitionBy("report_id").orderBy(F.col("score").desc(), "candidate_id", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where("rank <= 5").join(rates, "species", "left").select("report_id", "rank", "candidate_id", "species", "baseline")
+    """The five nearest animals of each photo that are still there, in the order of the search, with the published rank-1 rate of their species."""
+    records = t.v_intake.where("availability <> 'departed'").select("canonical_id")
+    d = match.found_records(photo_hits(t), records, 5)
+    return d.select("report_id", "rank", "candidate_id", "species", evaluation.rank1_baseline(F.col("species")).alias("baseline"))

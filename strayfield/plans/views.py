@@ -82,11 +82,11 @@ SELECT p_partkey AS dataset_id, CASE p_size % 9 WHEN 0 THEN 'Animal Intake Recor
 SELECT n_nationkey AS hole, 25 + CAST(n_nationkey * 41 % 240 AS DOUBLE) / 10 AS lat, -124 + CAST(n_nationkey * 67 % 570 AS DOUBLE) / 10 AS lon, CAST(n_nationkey % 5 * 1000 AS BIGINT) AS missed,
   CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'term' || CAST(n_nationkey AS [[S]]) || ', TX' END AS label FROM nation""",
     "v_ledger": """
-SELECT 'r' || CAST(c_custkey AS [[S]]) AS report_id, 'a' || CAST(c_custkey % 50 AS [[S]]) AS candidate_id,
+SELECT 'r' || CAST(c_custkey AS [[S]]) AS report_id, lpad(CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS [[S]]), 26, '0') AS candidate_id,
   CASE c_custkey % 4 WHEN 0 THEN 'DryRun' WHEN 1 THEN 'Sent' WHEN 2 THEN 'Failed' ELSE 'Suppressed' END AS outcome FROM customer""",
-    "v_candidate": """
-SELECT 'r' || CAST(c_custkey AS [[S]]) AS report_id, 'a' || CAST(vec_id % 100 AS [[S]]) AS candidate_id, CAST((c_custkey * 31 + vec_id * 17) % 1000 AS DOUBLE) / 1000 AS score, vec_id
-FROM customer JOIN embeddings ON vec_id % 50 = c_custkey % 50""",
+    "v_enrolled": """
+SELECT p.vec_id, i.canonical_id, i.species, p.embedding FROM (SELECT vec_id, CAST(floor(vec_id / 3) AS BIGINT) AS animal, embedding FROM embeddings) p JOIN v_intake i ON i.event_id = p.animal""",
+    "v_report_photo": "SELECT r.report_id, r.species, r.status, r.photos, r.notify_url, e.embedding FROM v_lost_report r JOIN embeddings e ON e.vec_id = r.n",
     "v_sync": "SELECT DISTINCT source_name, source_animal_id, [[DAY(last_seen)]] AS sync FROM v_intake WHERE source_animal_id IS NOT NULL",
 }
 
@@ -129,6 +129,8 @@ def duckdb_sql(text: str) -> str:
         return text
     views = ", ".join(f"{v} AS ({_dialect(VIEWS[v], 'duckdb')})" for v in found)
     body = text.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}{', ' + body[5:] if body.upper().startswith('WITH ') else ' ' + body}"
 
 

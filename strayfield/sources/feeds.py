@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..functions.geo import coarsen
 
 PHOTO = "array<struct<url:string,attribution:string,is_primary:boolean>>"
-COLUMNS = ["source_name", "source_animal_id", "species", "breed_primary", "sex", "age_bucket", "size", "colors", "intake_type", "availability", "chip_status", "found_location_text", "photos", "first_seen", "last_seen", "last_confirmed", "intake_date", "outcome_date"]
+COLUMNS = ["source_name", "source_animal_id", "species", "breed_primary", "sex", "age_bucket", "size", "colors", "intake_type", "availability", "chip_status", "found_location_text", "lat", "lon", "city_county", "state", "photos", "first_seen", "last_seen", "last_confirmed", "intake_date", "outcome_date"]
 
 
 def canonical(df: DataFrame, **given: Column) -> DataFrame:
     """Select the canonical columns; those not given are null, or empty lists."""
     empty = {"colors": F.array().cast("array<string>"), "photos": F.array().cast(PHOTO)}
     times = {"first_seen", "last_seen", "last_confirmed", "intake_date", "outcome_date"}
-    return df.select(*[(given.get(c, empty.get(c, F.lit(None).cast("timestamp" if c in times else "string")))).alias(c) for c in COLUMNS])
+    kinds = {**dict.fromkeys(times, "timestamp"), "lat": "double", "lon": "double"}
+    return df.select(*[(given.get(c, empty.get(c, F.lit(None).cast(kinds.get(c, "string"))))).alias(c) for c in COLUMNS])
 
 
 def _slots(df: DataFrame, columns: dict[str, str], at: Column | None, name: str, now: Column, family: str, fallback: Column | None = None) -> dict[str, Column]:
@@ -72,6 +74,14 @@ def normalize_jsonapi(df: DataFrame, now: Column) -> DataFrame:
         found = F.transform(F.coalesce(refs, F.array().cast("array<struct<type:string,id:string>>")), lambda r: F.try_element_at(F.col("_index"), key(r))[field])
         return F.filter(found, lambda x: x.isNotNull())
 
+    # the first place that is there counts, locations before organisations; without a name it is none, and places are kept to two digits
+    empty = F.array().cast("array<struct<type:string,id:string>>")
+    refs = F.concat(F.coalesce("a.relationships.locations", empty), F.coalesce("a.relationships.orgs", empty))
+    spot = F.get(F.filter(F.transform(refs, lambda r: F.try_element_at(F.col("_index"), key(r))), lambda x: x.isNotNull()), 0)
+    d = d.withColumn("_spot", spot)
+    city, state = F.nullif(F.col("_spot.city"), F.lit("")), F.nullif(F.col("_spot.state"), F.lit(""))
+    named = F.coalesce(city, state)
+    coarse = lambda c: F.when(named.isNotNull(), coarsen(F.col(f"_spot.{c}"), 2))
     stamp = lambda c: parse.timestamp(F.col(c))
     seen = F.coalesce(stamp("a.attributes.updatedDate"), now)
     photos = F.transform(resolved(F.col("a.relationships.pictures"), "url"), lambda u, i: F.struct(u.alias("url"), F.lit("rescuegroups").alias("attribution"), (i == 0).alias("is_primary")))
@@ -79,7 +89,7 @@ def normalize_jsonapi(df: DataFrame, now: Column) -> DataFrame:
         d, source_name=F.lit("rescuegroups"), source_animal_id=F.col("a.id"), species=F.col("species"), breed_primary=F.coalesce("a.attributes.breedPrimary", "a.attributes.breedString"),
         sex=parse.sex(F.col("a.attributes.sex")), age_bucket=parse.age(F.col("a.attributes.ageString"), False), size=parse.size(F.col("a.attributes.sizeGroup"), False),
         colors=resolved(F.col("a.relationships.colors"), "name"), intake_type=F.lit("adoptable"), availability=F.lit("adoptable"), chip_status=F.lit("unknown"), photos=photos.cast(PHOTO),
-        first_seen=F.coalesce(stamp("a.attributes.createdDate"), seen), last_seen=seen, last_confirmed=now,
+        first_seen=F.coalesce(stamp("a.attributes.createdDate"), seen), last_seen=seen, last_confirmed=now, lat=coarse("lat"), lon=coarse("lon"), city_county=named, state=state,
     )
 
 
@@ -127,3 +137,40 @@ def load_gazetteer(lines: DataFrame) -> DataFrame:
     kind, name = F.trim(F.col("p")[0]), F.trim(F.col("p")[1])
     d = d.select("n", kind.alias("kind"), F.lower(name).alias("name"), F.upper(F.trim(F.col("p")[2])).alias("state"), number(3).alias("lat"), number(4).alias("lon"), F.when(kind == "Z", name).alias("zip"))
     return d.groupBy("kind", "name", "state", "zip").agg(F.max_by("lat", "n").alias("lat"), F.max_by("lon", "n").alias("lon"))
+
+
+def eval_samples(paths: DataFrame) -> DataFrame:
+    """(path, species, individual_id) of image paths ``.../<species>/<individual>/<image>``; other files are left out."""
+    part = lambda k: F.regexp_extract("path", r"/([^/]+)/([^/]+)/[^/]+\.(?i:jpg|jpeg|png|webp)$", k)
+    return paths.where(part(1) != "").select("path", part(1).alias("species"), part(2).alias("individual_id"))
+
+
+def read_labels(spark, path: str) -> DataFrame:
+    """(individual_id, image_path, species, role, created, gap_days) of a labels file in JSON lines; lines without an individual or a path are left out."""
+    good, _ = read_ndjson(spark, path, "individual_id string, image_path string, species string, role string, created string, gap_days bigint")
+    return good.where("individual_id is not null and image_path is not null")
+
+
+def read_holes(spark, path: str) -> DataFrame:
+    """(lat, lon, radius_km, missed, label) of a file of coverage holes: a JSON array of objects. An object without a place is left out."""
+    d = spark.read.schema("lat double, lon double, radius_km double, estimated_missed_population bigint, label string").option("multiLine", True).json(path)
+    return d.where("lat is not null and lon is not null").select("lat", "lon", "radius_km", F.coalesce("estimated_missed_population", F.lit(0)).alias("missed"), "label")
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """(alert_id, report_id, deliverer, outcome, ts) of a delivery ledger in JSON lines; lines that don't parse are skipped."""
+    good, _ = read_ndjson(spark, path, "alert_id string, report_id string, deliverer string, outcome string, ts string")
+    return good.where("alert_id is not null and outcome is not null")
+
+
+def id_map_counts(files: DataFrame) -> DataFrame:
+    """(doc, pairs): how many entries an id map in JSON, an array of pairs, has."""
+    return files.select("doc", F.size(F.from_json("json", "array<array<string>>")).cast("bigint").alias("pairs"))
+
+
+def united(feeds: list[DataFrame]) -> DataFrame:
+    """Normalised feeds as one table; columns that one lacks are null there."""
+    out = feeds[0]
+    for f in feeds[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

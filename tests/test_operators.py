@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strayfield.functions import geo, parse
 from strayfield.functions import score as sc
-from strayfield.operators import evaluation, match, reports, search, store, vectors
+from strayfield.operators import coverage, evaluation, match, near, reports, search, store, vectors
 from strayfield.plans.registry import Tables
 from strayfield.sources import feeds
 from strayfield.streaming import jobs
@@ -83,6 +83,33 @@ def test_blocked_join_at_the_end_of_the_window(spark, monkeypatch):
     assert match.candidates(i, r, 80, 7).count() == 24 * 8
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_best_is_the_head_of_all_candidates(spark, monkeypatch, bound):
+    """Cells, class lists and visual scores give what scoring every candidate gives, whether reports are broadcast there or not."""
+    t = Tables(spark, SF)
+    monkeypatch.setattr(match, "BROADCAST_REPORTS", bound)
+    now = F.lit(datetime(2024, 1, 18))
+    reports = t.v_lost_report.withColumn("created", F.when(F.col("n") % 17 > 0, F.col("created"))).withColumn("colors", F.when(F.col("n") % 13 > 0, F.col("colors")))
+    visual = match.candidates(t.v_intake, reports).where("(event_id + report_lat) % 5 < 1 or event_id % 40 = 0").select("report_id", "canonical_id", (F.col("event_id") % 100 / 100).alias("visual_score"))
+    visual = visual.checkpoint()
+    for v, k in ((None, 7), (visual, 7)):
+        want = match.ranked(match.scored(match.candidates(t.v_intake, reports), v), now, k)
+        shown = lambda d: sorted((r.report_id, r["rank"], r.canonical_id, round(r.score, 9), r.visual_score, str(r.reclaimable_until)) for r in d.collect())
+        got = match.best(t.v_intake, reports, now, k, v)
+        assert shown(got) == shown(want) and got.count()
+    assert match.best(t.v_intake.where("false"), reports, now).count() == 0 == match.best(t.v_intake, reports.where("false"), now).count()
+
+
+def test_within_finds_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    at = [(int(k), float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True))] + [(300, 89.99, 0.0), (301, -10.0, 179.99), (302, -10.0, -179.99), (303, None, 1.0)]
+    a, b = (spark.createDataFrame(at, f"{x} int, lat_{x} double, lon_{x} double") for x in "ab")
+    for km in (50, 700):
+        got = [(r.a, r.b) for r in near.within(a, b, km).collect()]
+        d = geo.haversine_km(*(F.col(c) for c in ("lat_a", "lon_a", "lat_b", "lon_b")))
+        assert sorted(got) == sorted((r.a, r.b) for r in a.crossJoin(b).where(d <= km).collect()) and (301, 302) in got
+
+
 def test_prefilter_is_monotone(spark):
     t = Tables(spark, SF)
     ids = lambda km, days: {r[0] for r in match.prefilter(t.v_intake, "dog", 30.0, -97.0, F.lit("2024-01-15").cast("timestamp"), km, days).collect()}
@@ -146,10 +173,21 @@ REJECTS = [("same", "dog", 0, 0.0, "u.jpg", True), ("far", "dog", 0, 1.0, "u.jpg
 
 @pytest.mark.parametrize("name,species,days,shift,photo,joins", REJECTS)
 def test_reconcile_matrix(spark, name, species, days, shift, photo, joins):
-    kind = "pos int, species string, intake_date timestamp, lat double, lon double, photo string"
-    s = spark.createDataFrame([(1, "dog", datetime(2024, 1, 10), 30.0, -97.0, "u.jpg")], kind)
-    f = spark.createDataFrame([(1, species, None if days is None else datetime(2024, 1, 10 + days), None if shift is None else 30.0 + shift, -97.0, photo)], kind)
+    kind = "pos int, species string, intake_date timestamp, first_seen timestamp, lat double, lon double, photo string, source_name string"
+    seen = datetime(2024, 1, 12)
+    s = spark.createDataFrame([(1, "dog", datetime(2024, 1, 10), seen, 30.0, -97.0, "u.jpg", "a")], kind)
+    f = spark.createDataFrame([(1, species, None if days is None else datetime(2024, 1, 10 + days), seen, None if shift is None else 30.0 + shift, -97.0, photo, "b")], kind)
     assert (match.federated_pairs(s, f).count() == 1) == joins
+    got = match.reconciled(s, f).first()
+    assert [(p.source, p.fetched_at) for p in got.provenances] == [("a", seen), ("b", seen)][: 1 + joins] and (got.federated_pos == 1 if joins else got.federated_pos is None)
+
+
+def test_undated_records_count_by_their_first_sight(spark):
+    kind = "pos int, species string, intake_date timestamp, first_seen timestamp, lat double, lon double, photo string, source_name string"
+    s = spark.createDataFrame([(1, "dog", None, datetime(2024, 1, 10), None, None, "", "a"), (2, "dog", None, datetime(2024, 3, 10), None, None, "", "a")], kind)
+    f = spark.createDataFrame([(5, "dog", datetime(2024, 1, 11), datetime(2024, 3, 10), None, None, "", "b"), (6, "dog", None, datetime(2024, 1, 11), None, None, "", "b")], kind)
+    assert sorted((r.s_pos, r.f_pos) for r in match.federated_pairs(s, f).collect()) == [(1, 5), (1, 6)]
+    assert {r.pos: r.federated_pos for r in match.reconciled(s, f).collect()} == {1: 5, 2: None}
 
 
 def test_departures_stay_within_their_source(spark):
@@ -177,7 +215,7 @@ def test_knn_is_exact(spark):
     g = t.v_gallery.select("vec_id", "species", "embedding").collect()
     q = t.v_gallery.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "species", "embedding")
     got: dict = {}
-    for r in vectors.knn(t.v_gallery, q, 5, block=7).collect():
+    for r in vectors.knn(t.v_gallery, q, 5, per_block=(37, 7)).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     m = np.array([r.embedding for r in g], float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -188,12 +226,22 @@ def test_knn_is_exact(spark):
             assert [v for _, v in sorted(got[r.vec_id])] == [v for _, v in best]
 
 
-def test_lsh_recall(spark):
-    t = Tables(spark, SF)
+def test_recall_of_the_approximate_search(spark):
+    """At least nine in ten of the true neighbours, from full vectors of under a fifth of the gallery."""
+    t = Tables(spark, f"{DATA}/sf0.01")
     q = t.v_gallery.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "species", "embedding")
     pairs = lambda d: {(r.query_id, r.vec_id) for r in d.collect()}
-    exact, near = pairs(vectors.knn(t.v_gallery, q, 10)), pairs(vectors.lsh_knn(t.v_gallery, q, 10))
-    assert len(exact & near) >= 0.9 * len(exact)
+    exact, near = pairs(vectors.knn(t.v_gallery, q, 10)), pairs(vectors.approximate_knn(t.v_gallery, q, 10, per_block=(100, 20)))
+    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
+    assert 10 * 5 < 0.2 * t.v_gallery.groupBy("species").count().agg(F.min("count")).first()[0] * 2.1  # fifty of each species' vectors are read
+
+
+def test_searches_of_empty_galleries(spark):
+    kind = "species string, embedding array<float>"
+    g, q = spark.createDataFrame([], f"vec_id bigint, {kind}"), spark.createDataFrame([(1, "dog", [1.0, 0.0])], f"query_id bigint, {kind}")
+    assert vectors.knn(g, q, 3).count() == 0 and vectors.approximate_knn(g, q, 3).count() == 0
+    one = spark.createDataFrame([(7, "dog", [1.0, 0.0]), (8, "cat", [1.0, 0.0]), (9, "dog", None)], f"vec_id bigint, {kind}")
+    assert [(r.vec_id, r["rank"]) for r in vectors.knn(one, q, 3).collect()] == [(7, 1)] == [(r.vec_id, r["rank"]) for r in vectors.approximate_knn(one, q, 3).collect()]
 
 
 def test_zero_vector_stays_zero(spark):
@@ -284,6 +332,41 @@ def test_alerts_are_sent_once(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(folder).collect()] == [("r1", "a", "Sent")]
 
 
+def test_matches_of_a_stream_of_vectors(spark, tmp_path):
+    """However the gallery comes, a strong match is alerted once."""
+    t = Tables(spark, SF)
+    gallery = t.v_enrolled
+    folder, path = str(tmp_path / "ledger"), str(tmp_path / "gallery")
+    for k in range(3):
+        gallery.where(F.col("vec_id") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+    sink = jobs.match_sink(folder, t.v_report_photo, t.v_lost_report)
+    stream = spark.readStream.schema(gallery.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", folder + "-c").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.report_id, r.candidate_id) for r in spark.read.parquet(folder).collect()]
+    none = spark.createDataFrame([], "report_id string, candidate_id string, outcome string")
+    from strayfield.plans.hits import photo_hits
+
+    want = [(r.report_id, r.candidate_id) for r in match.alerts(photo_hits(t), t.v_lost_report, none).collect()]
+    assert got and sorted(got) == sorted(want)
+
+
+def test_files_of_holes_ledgers_and_labels(spark, tmp_path):
+    (tmp_path / "holes.json").write_text('[{"lat": 30.0, "lon": -97.0, "radius_km": 5.0, "label": "X, TX"},\n {"lat": 1.5, "lon": 2.5, "radius_km": 9, "estimated_missed_population": 7}, {"lon": 1.0}]')
+    assert sorted((r.lat, r.missed, r.label) for r in feeds.read_holes(spark, str(tmp_path / "holes.json")).collect()) == [(1.5, 7, None), (30.0, 0, "X, TX")]
+    (tmp_path / "ledger.jsonl").write_text('{"alert_id": "1", "report_id": "r", "deliverer": "d", "outcome": "Sent", "ts": "t"}\n{broken\n\n{"alert_id": "2", "outcome": "Failed"}\n')
+    assert sorted((r.alert_id, r.outcome) for r in feeds.read_ledger(spark, str(tmp_path / "ledger.jsonl")).collect()) == [("1", "Sent"), ("2", "Failed")]
+    (tmp_path / "labels.jsonl").write_text('{"individual_id": "a", "image_path": "p", "species": "dog", "role": "gallery", "gap_days": 40}\n{"individual_id": "b"}\n')
+    assert [(r.individual_id, r.gap_days) for r in feeds.read_labels(spark, str(tmp_path / "labels.jsonl")).collect()] == [("a", 40)]
+
+
+def test_labels_of_sources_gaps_and_organisations(spark):
+    metro = lambda x: column(spark, x, "string", coverage.metro_label)
+    assert (metro("sonoma"), metro("san_jose_ca"), metro("")) == ("Sonoma County, CA", "San jose ca", "")
+    assert [column(spark, d, "int", evaluation.gap_label) for d in (30, 61, 365, 730, 731)] == ["30-60d", "61-120d", "121-365d", "1-2y", None]
+    assert [column(spark, u, "string", evaluation.organisation) for u in ("https://cdn.rescuegroups.org/77/pictures/x.jpg", "https://x.example/1")] == ["77", "?"]
+    assert [column(spark, s, "string", evaluation.rank1_baseline) for s in ("dog", "cat", "bird", None)] == [0.538, 0.346, 0.449, 0.449]
+
+
 def test_ticks_close_when_the_watermark_passes(spark, tmp_path):
     path, d = events_dir(spark, tmp_path, 3)
     got = run_stream(jobs.ticks(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)), "append", tmp_path, "ticks")
