@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a folder of its own is made only where none is set."""
+    """The shared checkpoint folder; in local mode alone, a temporary one is made where none is set. On a cluster executors wouldn't see it."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-rounds-')}")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='spark-rounds-')}")
     return spark.sparkContext.getCheckpointDir()
 
 
