@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, persisted
 
+#: Copies of the fingerprints where they are too many to broadcast.
+SALTS = 16
 #: A word, in a text whose A-Z aren't lower-cased yet.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -37,6 +39,19 @@ def fingerprinted(df: DataFrame, length: int, gram: int) -> DataFrame:
     return df.withColumns({"_grams": cut("_g", gram), "_lows": cut("_m", length)})
 
 
+def kept_grams(length: int, gram: int) -> Column:
+    """The (length, place, hash) of the grams that are the smallest of a window that holds them, from _grams<length> and _lows<length>."""
+    gram = min(gram, length)
+    grams, lows = F.col(f"_grams{length}"), F.col(f"_lows{length}")
+    at = F.transform(grams, lambda g, p: F.struct(F.lit(length).alias("_l"), p.alias("_p"), g.alias("_fp")))
+
+    def smallest(x):
+        around = [F.get(lows, x["_p"] - k) for k in range(length - gram + 1)]
+        return (F.greatest(*around) if len(around) > 1 else around[0]) == x["_fp"]
+
+    return F.filter(at, smallest)
+
+
 def kept(length: int, gram: int) -> Column:
     """Whether the gram at word ``_p`` is the smallest of a window that holds it."""
     gram = min(gram, length)
@@ -56,6 +71,18 @@ def with_context(df: DataFrame, to: str, length: int, gram: int, keep: list[str]
     return near.select(*keep, words.alias(to))
 
 
+def with_contexts(df: DataFrame, lengths: list[int], gram: int, keep: list[str]) -> DataFrame:
+    """``keep`` and ``_here``, as ``with_context``, for each row's own length ``_l``; of a text's own row (0) no words."""
+    side = F.lit(0)
+    for length in lengths:
+        side = F.when(F.col("_l") == length, length - min(gram, length)).otherwise(side)
+    start = F.greatest(F.lit(0), F.col("_p") - side)
+    upto = F.when(F.col("_l") == 0, 0).otherwise(F.greatest(F.lit(0), F.col("_p") + F.col("_l") - start))
+    near = df.select(*keep, F.greatest(F.lit(0), side - F.col("_p")).alias("_pad"), F.explode(F.array(F.slice("_words", start + 1, upto))).alias("_near"))
+    words = F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("_pad")), F.transform("_near", lower_ascii))
+    return near.select(*keep, words.alias("_here"))
+
+
 def item_prints(items: DataFrame, length: int, gram: int, window: int) -> DataFrame:
     """(_fp, item_id, _there) of the items of ``length`` words, or of at least so many if that is ``window``."""
     n = F.size("_words")
@@ -89,24 +116,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     words = lambda: F.coalesce(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
     items = benchmark.where("item_id is not null").select("item_id", words().alias("_words")).where(F.size("_words") > 0)
     short = sorted(r[0] for r in items.where(F.size("_words") < window).select(F.size("_words")).distinct().collect())  # fewer than ``window`` numbers
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), words().alias("_words"), F.xxhash64("text").alias("_k"))
-
-    hits = None
-    for length in (window, *short):
-        prints = item_prints(items, length, gram, window)
-        few = prints.limit(broadcast_prints + 1).count() <= broadcast_prints
-        there = F.broadcast(prints) if few else prints
-        n = fingerprinted(base, length, gram).select("doc_id", "_row", "_k", "_words", "_grams", "_lows", F.explode(F.sequence(F.lit(-1), F.size("_grams") - 1)).alias("_p"))
-        n = n.withColumn("_fp", F.get("_grams", F.col("_p"))).where((F.col("_p") == -1) | kept(length, gram))
-        n = n.select("doc_id", "_row", "_k", F.size("_words").alias("_n"), "_p", "_fp", "_words")
-        own = ["doc_id", "_row", "_k", "_n", "_p", "_fp"]
-        n = n if few else with_context(n, "_here", length, gram, own)
-        j = n.join(there, "_fp", "left").where((F.col("_p") == -1) | F.col("item_id").isNotNull())
-        j = with_context(j, "_here", length, gram, [*own, "item_id", "_there"]) if few else j
-        first, end = run_around(length, gram)
-        j = j.withColumns({"_first": F.when(F.col("_p") >= 0, first), "_end": end}).where((F.col("_p") == -1) | F.col("_first").isNotNull())
-        found = j.select("doc_id", "_row", "_k", "_n", F.when(F.col("_p") >= 0, F.struct(F.col("_first").alias("first"), F.col("_end").alias("end"))).alias("_span"), F.when(F.col("_p") >= 0, F.col("item_id")).alias("_item"))
-        hits = found if hits is None else hits.unionAll(found.where("_span is not null"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("_k"), words().alias("_words")).select(F.monotonically_increasing_id().alias("_row"), "*")
+    own = ["doc_id", "_row", "_k", "_n", "_p"]
+
+    # a text's words are found once; the grams of each length that some item has are columns beside them
+    lengths = [window, *short]
+    d, places = base, F.array(F.struct(F.lit(0).alias("_l"), F.lit(-1).alias("_p"), F.lit(None).cast("bigint").alias("_fp")))
+    for length in lengths:
+        d = fingerprinted(d, length, gram).withColumnsRenamed({"_grams": f"_grams{length}", "_lows": f"_lows{length}"})
+        places = F.concat(places, kept_grams(length, gram))
+    # of each text its row (_l = 0), which stands apart from all joins, and its fingerprints
+    d = d.select("doc_id", "_row", "_k", F.size("_words").alias("_n"), "_words", F.explode(places).alias("_at")).select("doc_id", "_row", "_k", "_n", "_words", "_at.*")
+
+    prints = None
+    for length in lengths:
+        p = item_prints(items, length, gram, window).select(F.lit(length).alias("_l"), "_fp", "item_id", "_there")
+        prints = p if prints is None else prints.unionByName(p)
+    few = prints.limit(broadcast_prints + 1).count() <= broadcast_prints
+    span = F.struct(F.col("_first").alias("first"), F.col("_end").alias("end"))
+
+    def extended(j: DataFrame) -> DataFrame:
+        first, end = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for length in lengths:
+            f, e = run_around(length, gram)
+            first, end = F.when(F.col("_l") == length, f).otherwise(first), F.when(F.col("_l") == length, e).otherwise(end)
+        return j.withColumns({"_first": F.when(F.col("_l") > 0, first), "_end": end})
+
+    if few:
+        j = d.join(F.broadcast(prints), ["_l", "_fp"], "left").where((F.col("_p") == -1) | F.col("item_id").isNotNull())
+        j = extended(with_contexts(j, lengths, gram, [*own, "_l", "item_id", "_there"])).where((F.col("_p") == -1) | F.col("_first").isNotNull())
+        hits = j.select("doc_id", "_row", "_k", "_n", F.when(F.col("_p") >= 0, span).alias("_span"), F.when(F.col("_p") >= 0, F.col("item_id")).alias("_item"))
+    else:
+        # a print may stand in very many texts, or in very many items: its rows are dealt out by salt
+        cut = persisted(with_contexts(d, lengths, gram, [*own, "_l", "_fp"]), "decontam-grams")
+        salted = prints.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        j = cut.where("_p >= 0").withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, ["_l", "_fp", "_salt"])
+        found = extended(j).where("_first is not null").select("doc_id", "_row", "_k", "_n", span.alias("_span"), F.col("item_id").alias("_item"))
+        empty = found.schema
+        alone = cut.where("_p = -1").select("doc_id", "_row", "_k", "_n", F.lit(None).cast(empty["_span"].dataType).alias("_span"), F.lit(None).cast(empty["_item"].dataType).alias("_item"))
+        hits = alone.unionAll(found)
     per_doc = hits.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("_k").alias("text_hash"), F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"), F.array_sort(F.collect_set("_item")).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["upto"], s["first"]))).cast("long").alias("n")), lambda a: a["n"])
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
