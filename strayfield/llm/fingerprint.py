@@ -15,18 +15,61 @@ from pyspark.sql import functions as F
 from .common import persisted
 
 PIECE = r"[^\n.]{1,80}\.?\n?|\.\n?|\n"
-LANES = (1 << 40) | (1 << 20) | 1
+PAIR = (1 << 20) | 1
 LOW20, LOW40 = (1 << 20) - 1, (1 << 40) - 1
 BIT_WORDS = 40
 
 
 def piece_sums() -> list[Column]:
-    """The vector of the pieces in a group, of whose hashes _h0 to _h3 are null if there is no piece: 4 hash lanes, then 40 numbers of
-    three bit lanes."""
+    """Sums over the pieces in a group, of whose hashes _h0 to _h3 are null if there is no piece. None can overflow: 40-bit hashes are summed in halves,
+    and a sum of bits holds two lanes of 20 bits, of which a text's two billion characters fill the upper to 52."""
     h = [F.col(f"_h{k}") for k in range(4)]
     wide = [x for k in (2, 3) for x in (h[k].bitwiseAND(LOW40), F.shiftrightunsigned(h[k], 24))]
-    bits = [F.shiftright(h[k], a).bitwiseAND(LANES) for k in (0, 1) for a in range(20)]
-    return [F.coalesce(F.try_sum(x), F.lit(0)) for x in wide + bits]
+    halves = [y for x in wide for y in (x.bitwiseAND(LOW20), F.shiftrightunsigned(x, 20))]
+    pairs = [F.shiftright(h[k], a).bitwiseAND(PAIR) for k in (0, 1) for a in range(20)]
+    # the third lanes, at bit 40 of the hashes, two to a sum
+    thirds = [F.shiftright(h[k], 40 + a).bitwiseAND(1) + F.shiftleft(F.shiftright(h[k], 41 + a).bitwiseAND(1), 20) for k in (0, 1) for a in range(0, 20, 2)]
+    return [F.coalesce(F.sum(x), F.lit(0)) for x in halves + pairs + thirds]
+
+
+def packed(s: list[Column]) -> list[Column]:
+    """The vector of such sums: 4 hash lanes modulo 2^40, then 40 numbers of three bit lanes, the lower two modulo 2^40, the upper modulo 2^20."""
+    wide = [(s[2 * k] + F.shiftleft(s[2 * k + 1].bitwiseAND(LOW20), 20)).bitwiseAND(LOW40) for k in range(4)]
+    lanes = []
+    for k in range(BIT_WORDS):
+        third = s[8 + BIT_WORDS + k // 2]
+        third = F.shiftrightunsigned(third, 20) if k % 2 else third
+        lanes.append(s[8 + k].bitwiseAND(LOW40).bitwiseOR(F.shiftleft(third.bitwiseAND(LOW20), 40)))
+    return wide + lanes
+
+
+def joined(n: Column, v: Column, m: Column, w: Column, sign: int = 1) -> tuple[Column, Column]:
+    """(n_pieces, vec) of two fingerprints' pieces together, or with ``sign`` -1 of the first one's without the second one's."""
+
+    def lane(x, y, i):
+        low = (x.bitwiseAND(LOW40) + sign * y.bitwiseAND(LOW40)).bitwiseAND(LOW40)
+        high = (F.shiftrightunsigned(x, 40) + sign * F.shiftrightunsigned(y, 40)).bitwiseAND(LOW20)
+        return F.when(i < 4, low).otherwise(low.bitwiseOR(F.shiftleft(high, 40)))
+
+    pairs = F.zip_with(v, w, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return n + sign * m, F.transform(pairs, lambda p, i: lane(p["x"], p["y"], i))
+
+
+def inserted(prints: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
+    """Fingerprints (key, n_pieces, vec) after the pieces of ``pieces`` (key, n_pieces, vec) were added; keys without any stay as they are."""
+    return _changed(prints, pieces, key, 1)
+
+
+def removed(prints: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
+    """Fingerprints after the pieces of ``pieces``, which must be among theirs, were taken away."""
+    return _changed(prints, pieces, key, -1)
+
+
+def _changed(prints: DataFrame, pieces: DataFrame, key: str, sign: int) -> DataFrame:
+    d = prints.join(pieces.select(key, F.col("n_pieces").alias("_m"), F.col("vec").alias("_w")), key, "left")
+    n, v = joined(F.col("n_pieces"), F.col("vec"), F.col("_m"), F.col("_w"), sign)
+    own = F.col("_m").isNull()
+    return d.select(*[c for c in prints.columns if c not in ("n_pieces", "vec")], F.when(own, F.col("n_pieces")).otherwise(n).alias("n_pieces"), F.when(own, F.col("vec")).otherwise(v).alias("vec"))
 
 
 def dot(v: Column, n: Column, w: Column, m: Column) -> Column:
@@ -45,7 +88,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     hashed = cut.select(*keys, "_piece", *[F.when(F.col("_piece").isNotNull(), F.xxhash64("_piece", F.lit(k))).alias(f"_h{k}") for k in range(4)])
     sums = [x.alias(f"_s{k}") for k, x in enumerate(piece_sums())]
     summed = hashed.groupBy(*keys).agg(F.count("_piece").alias("n_pieces"), *sums)
-    return summed.select(*keys, "n_pieces", F.array(*[F.col(f"_s{k}") for k in range(len(sums))]).alias("vec"))
+    return summed.select(*keys, "n_pieces", F.array(*packed([F.col(f"_s{k}") for k in range(len(sums))])).alias("vec"))
 
 
 def shown(n: Column, vec: Column) -> Column:

@@ -88,7 +88,7 @@ class Tables:
 
 
 def sketched(docs: DataFrame, size: int, tables: Tables) -> DataFrame:
-    """(doc_id, _row, n, _s1, _s2, _half) of each row: set size, 128-bit set hash, half keys. Without words n is 0 and the rest null."""
+    """(doc_id, text_hash, _row, n, _s1, _s2, _half) of each row: set size, 128-bit set hash, half keys. Without words n is 0 and the rest null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches):
@@ -103,35 +103,50 @@ def sketched(docs: DataFrame, size: int, tables: Tables) -> DataFrame:
                     n.append(len(u))
                     s.append(np.frombuffer(xxh3_128_digest(u.tobytes()), np.int64) if len(u) else (None, None))
                     half.append(tables.half_keys(u).view(np.int64) if len(u) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_row"), pa.array(n, pa.int64()), pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64()), pa.array(half, pa.list_(pa.int64()))], names=["doc_id", "_row", "n", "_s1", "_s2", "_half"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("_row"), pa.array(n, pa.int64()), pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64()), pa.array(half, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "_row", "n", "_s1", "_s2", "_half"])
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, f"doc_id {kind}, _row bigint, n bigint, _s1 bigint, _s2 bigint, _half array<bigint>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, _row bigint, n bigint, _s1 bigint, _s2 bigint, _half array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, broadcast_ids: int = 500_000) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough. Only the texts of ids in a pair are moved."""
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, broadcast_ids: int = 500_000, per_lead: int = 64) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough. Only the texts of ids in a pair are moved.
+
+    The text that an ``a`` with many pairs has goes once to every ``per_lead`` or so of them: in each part its row comes first, then those
+    of its partners, and a task keeps one set at a time.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"_{c}")) for c in "ab")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_lead).alias("_parts"))
+    dealt = pairs.join(small(parts, broadcast_ids), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_part"))
+    dealt = persisted(dealt, "neardup-dealt")
+    leads, others = dealt.select("a", "_part").distinct(), dealt
+    first = texts.join(small(leads.withColumnRenamed("a", "doc_id"), broadcast_ids), "doc_id").select(F.col("doc_id").alias("a"), "_part", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
+    rest = texts.join(small(others.withColumnRenamed("b", "doc_id"), broadcast_ids), "doc_id").select("a", "_part", F.col("doc_id").alias("b"), "text")
 
     def check(batches):
-        last, own = None, None
+        last, own = None, []
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 keep = []
-                for s, t in zip(part.column("_a").to_pylist(), part.column("_b").to_pylist(), strict=True):
-                    if s != last:
-                        last, own = s, shingle_set(s, size)
-                    other = shingle_set(t, size)
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
+                for a, b, text in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    found = shingle_set(text, size)
+                    if b is None:  # a document of several rows has several sets
+                        own = [*own, found] if a == last else [found]
+                        last = a
+                    keep.append(b is not None and any(alike(x, found, percent) for x in own))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(one, "a").join(two, "b").mapInArrow(check, f"a {kind}, b {kind}")
+    rows = first.unionByName(rest).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(check, f"a {kind}, b {kind}").distinct()
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -189,11 +204,11 @@ def worth_confirming(width: int, sides: int, percent: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: int = 10, rows: int = 3, stars: int = 3) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+    """One row (doc_id, n_shingles, component_id, kept, text_hash) per row of ``docs`` (doc_id, text).
 
     A document's set is its distinct ``size``-word shingles. Documents are linked if 100 * intersection >= ``percent`` * union;
     component_id is the smallest doc_id reachable. Null, empty and wordless texts have an empty set and stand alone, as do rows without a
-    doc_id (their component_id is null, and they are kept). Rows that repeat a doc_id are one document with several sets. An
+    doc_id (their component_id is null, and they are kept). Rows that repeat a doc_id are one document with several sets, and have one component_id. An
     empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -205,6 +220,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: in
     salt = F.pmod(F.col("_row"), F.lit(SALTS)).cast("int")
     nodes = real.withColumn("_salt", salt).join(salted, ["_s1", "_s2", "_salt"], "left").where("_node is null or _node = doc_id").select(F.col("doc_id").alias("node"), "n", "_half")
     nodes = persisted(nodes, "neardup-nodes")
+    # rows that repeat an id are one document: what stands for their sets is linked with it
+    again = persisted(real.groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1").select("doc_id"), "neardup-again")
+    several = real.withColumn("_salt", salt).join(small(again, 500_000), "doc_id", "left_semi").join(salted, ["_s1", "_s2", "_salt"]).where("_node <> doc_id")
+    several = persisted(several.select(F.least("doc_id", "_node").alias("a"), F.greatest("doc_id", "_node").alias("b")).distinct(), "neardup-several")
 
     t, s = F.col("_t"), F.lit(sides)
     # the table's number is the key's last seven bits
@@ -220,7 +239,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: in
     met = weighed.join(leads, "key").where("node <> lead").groupBy("node", "lead").agg(F.max("_lw").alias("_lw"))
     best = met.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy(F.col("_lw").desc(), "lead"))).where(F.col("_n") <= stars)
     first = persisted(best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "neardup-pairs")
-    links = persisted(confirmed(first, docs, size, percent), "neardup-links")
+    links = persisted(confirmed(first, docs, size, percent), "neardup-links").union(several)
     labels = components(links)
 
     of = members.join(small(labels, 500_000), "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
@@ -241,4 +260,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: in
     groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = found.withColumn("_salt", salt).join(groups, ["_s1", "_s2", "_salt"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("_group", "component", "doc_id").cast(kind)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that with the smallest id; of rows that repeat id and text one stays.
+
+    Rows that repeat an id are one document, and go or stay together. Rows without an id, or without words, all stay.
+    """
+    found = persisted(near_duplicates(docs, size, percent).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"), "neardup-kept")
+    left = docs.join(found.where("not kept").select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+    again = persisted(found.where("kept and _id is not null").groupBy("_id", "_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_hash"), "neardup-again")
+    if not again.limit(1).count():
+        return left
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -76,7 +76,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int)
     share = F.coalesce(*[F.when(F.col("quality") == k, F.lit(min(1.0, 1.1 * per_class / v))) for k, v in sorted(n.items())], F.lit(0.0))
     marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text").between(1, most_chars))
-    return texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality").limit(4 * per_class), n  # about 2 x per_class rows are broadcast
+    found = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality")  # about 2 x per_class rows are broadcast
+    # repeated ids may bring more rows: which of them stay doesn't depend on the order they come in
+    return found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "quality").limit(4 * per_class), n
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_chars: int = 20_000, dictionary: int = 65_536) -> QualityModel | None:
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_chars: i
     None if either label is missing among them.
     """
     picked, n = sample(docs, labels, per_class, most_chars)
-    rows = sorted(picked.collect(), key=lambda r: (r.doc_id, r.text))
+    rows = sorted(picked.collect(), key=lambda r: (r.doc_id, r.text, r.quality))
     half = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, half.values())) < 2:
         return None

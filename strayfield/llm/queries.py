@@ -32,7 +32,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).drop("text_hash")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    rules = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rules} AS rules(rule, verdict)"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc, op4_near_duplicates, op5_language_id, op6_pii, op7_token_count, op8_fingerprint, op9_mixing, op10_url_filter)}

@@ -13,11 +13,12 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import persisted, shared_dir
@@ -39,16 +40,21 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+def urn(page_id) -> str:
+    """A record's id: the page's, escaped; of a page without an id one that no page can have."""
+    return "urn:page:" + ("?" if page_id is None else quote(str(page_id), safe=""))
+
+
 def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """One WARC record; a revisit's block holds the HTTP header alone."""
     target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{base32(digest)}", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{urn(page_id)}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{base32(digest)}", "Content-Type: application/http; msgtype=response"]
     if target:
         lines.append(f"WARC-Target-URI: {target}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{urn(refers_to)}>"]
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode()
     return head + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -112,10 +118,14 @@ class BundleReader:
         place, packed, plain = self.frames[k]
         return self.unzip.decompress(self.at(place, packed), max_output_size=plain)
 
-    def index(self) -> dict[str, tuple[int, int]]:
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """The places of each record id: several where pages repeat an id, or have none."""
         place, packed, _ = self.frames[-1]
         lines = self.unzip.decompress(self.at(place + 8, packed - 8)).decode().split("\n")
-        return {i: (int(k), int(o)) for i, k, o in (x.split("\t") for x in lines if x)}
+        found: dict[str, list[tuple[int, int]]] = {}
+        for i, k, o in (x.rsplit("\t", 2) for x in lines if x):
+            found.setdefault(i, []).append((int(k), int(o)))
+        return found
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
         for k in range(len(self.frames) - 1):
@@ -123,13 +133,14 @@ class BundleReader:
             while (r := parsed(data)) is not None:
                 yield r
 
-    def find(self, record_id: str) -> tuple[dict[str, str], bytes] | None:
-        """One record, by way of its frame alone."""
-        if (found := self.index().get(record_id)) is None:
-            return None
-        data = io.BytesIO(self.frame(found[0]))
-        data.seek(found[1])
-        return parsed(data)
+    def find(self, record_id: str) -> list[tuple[dict[str, str], bytes]]:
+        """The records of an id, by way of their frames alone; none if there is no such id."""
+        out = []
+        for frame, offset in self.index().get(record_id, []):
+            data = io.BytesIO(self.frame(frame))
+            data.seek(offset)
+            out.append(parsed(data))
+        return out
 
 
 def parsed(data: io.BytesIO) -> tuple[dict[str, str], bytes] | None:
@@ -177,14 +188,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
         fs, path = opened(folder)
         fs.create_dir(path, recursive=True)
         done = []
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to")], strict=True):
+        slices = (batch.slice(k, 64) for batch in batches for k in range(0, batch.num_rows, 64))  # few payloads as Python objects at a time
+        for rows in slices:
+            for row in zip(*[rows.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to")], strict=True):
                 page_id, url, payload, digest, refers_to = row
                 if writer is None:
                     name = f"{folder}/part-{part:06d}-{n:04d}.warc.zst"
                     writer, size, n = BundleWriter(name, attempt, frame_bytes, level), 0, n + 1
                 data = record("response" if refers_to is None else "revisit", page_id, url, payload.encode(), digest, refers_to, date)
-                writer.add(f"urn:page:{page_id}", data)
+                writer.add(urn(page_id), data)
                 size += len(data)
                 if size >= bundle_bytes:
                     done.append((name, writer.n, writer.close()))
@@ -200,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
 def read_archives(bundles: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, digests of responses computed anew.
 
-    A response whose digest differs from its header fails the read.
+    ``id_type`` is the Spark type of page ids, as which they are read back: bigint, int or string. A response whose digest differs from its header fails the read.
     """
 
     def read(batches):
@@ -211,7 +223,7 @@ def read_archives(bundles: DataFrame, id_type: str = "bigint") -> DataFrame:
                     http, _, payload = block.partition(b"\r\n\r\n")
                     length = int(http.rpartition(b"Content-Length: ")[2])
                     kind, claimed = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                    own = lambda x: None if x is None or x == "None" else int(x)
+                    own = lambda x: None if x is None or x == "?" else unquote(x) if id_type == "string" else int(x)
                     name = lambda k: head[k][len("<urn:page:") : -1] if k in head else None
                     digest = hashlib.sha1(payload).hexdigest() if kind == "response" else unbase32(claimed)
                     if kind == "response" and (base32(digest) != claimed or length != len(payload)):
@@ -224,11 +236,12 @@ def read_archives(bundles: DataFrame, id_type: str = "bigint") -> DataFrame:
                     yield packed(rows)
 
     def packed(rows):
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+        kinds = (ids, pa.int64(), pa.string(), pa.string(), ids)
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     parts = max(1, bundles.count())
-    return bundles.repartition(parts).mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return bundles.repartition(parts).mapInArrow(read, f"page_id {id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}")
 
 
 def unbase32(text: str) -> str:
@@ -240,9 +253,9 @@ def unbase32(text: str) -> str:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write all of ``pages``, read the archives back. Repeated rows give repeated records; an empty table gives no records; other
     columns are ignored."""
-    return read_archives(write_archives(pages, folder))
+    return read_archives(write_archives(pages, folder), pages.schema["page_id"].dataType.simpleString())
 
 
-def find_record(spark: SparkSession, bundle: str, page_id) -> tuple[dict[str, str], bytes] | None:
-    """Random access to one record of a bundle."""
-    return BundleReader(bundle).find(f"urn:page:{page_id}")
+def find_records(bundle: str, page_id) -> list[tuple[dict[str, str], bytes]]:
+    """Random access to the records of a page in a bundle."""
+    return BundleReader(bundle).find(urn(page_id))

@@ -131,9 +131,9 @@ def test_archives_with_copies_and_odd_pages(spark, tmp_path):
     for r in bundles.collect():  # random access to each record
         reader = warc.BundleReader(r.bundle)
         for record_id in reader.index():
-            head, _ = reader.find(record_id)
-            assert head["warc-record-id"] == f"<{record_id}>"
-        assert reader.find("urn:page:none") is None
+            assert all(head["warc-record-id"] == f"<{record_id}>" for head, _ in reader.find(record_id))
+        assert reader.find("urn:page:none") == []
+    assert sum(len(warc.find_records(r.bundle, 2)) for r in bundles.collect()) == sum(i == 2 for i, *_ in pages)
 
 
 def test_salted_revisits_are_the_broadcast_ones(spark, docs):
@@ -144,6 +144,14 @@ def test_salted_revisits_are_the_broadcast_ones(spark, docs):
     assert one == two and any(r[1] is not None for r in one)
 
 
+def test_archives_of_text_ids_and_a_long_page(spark):
+    from strayfield.llm.warc import round_trip
+
+    d = spark.createDataFrame([("a\tb", "http://x/" + "y" * 100_000, "z" * 3_000_000), ("c", None, "z" * 3_000_000), (None, "u", "")], "page_id string, url string, html string")
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in round_trip(d).collect()}
+    assert got == {("a\tb", 3_000_000, "revisit", "c"), ("c", 3_000_000, "response", None), (None, 0, "response", None)}
+
+
 def test_archives_of_no_pages(spark):
     from strayfield.llm.warc import round_trip
 
@@ -176,6 +184,20 @@ def test_near_duplicates_in_chains_and_odd_tables(spark, odd, empty):
     assert [(r.component_id, r.kept) for r in null] == [(None, True)]
 
 
+def test_a_group_of_ten_thousand_and_repeated_ids(spark):
+    """Copies that differ in one of 80 words: one group. Rows that repeat an id go or stay together."""
+    from strayfield.llm.neardup import deduplicated, near_duplicates
+
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    made = [(k, " ".join(base[: k % 80] + [f"x{k}"] + base[k % 80 + 1 :])) for k in range(1000, 11_000)]
+    other = " ".join(f"o{k}" for k in range(50))
+    d = spark.createDataFrame([*made, (5, " ".join(base)), (2000, other), (2000, other), (3000, other), (20_000, other), (9, "short"), (9, "short"), (None, None)], "doc_id bigint, text string")
+    got = {r.component_id for r in near_duplicates(d).where("doc_id >= 1000").collect()}
+    assert got == {5}
+    assert sorted(((r.doc_id, r.text) for r in deduplicated(d).collect()), key=str) == sorted([(5, " ".join(base)), (9, "short"), (None, None)], key=str)
+
+
 # 5 ------------------------------------------------------------------
 
 
@@ -313,11 +335,53 @@ def test_fingerprints_are_homomorphic(spark):
 
     d = spark.createDataFrame([(1, "a b.\nc d.\ne f."), (2, "e f.c d.\na b.\n"), (3, "a b.\nc d.\n"), (4, "e f."), (5, "")], "k int, text string")
     v = {r.k: [r.n_pieces, *r.vec] for r in fingerprints(d, ["k"]).collect()}
-    assert [a + b for a, b in zip(v[3], v[4], strict=True)] == v[1] == v[2] != v[3] and not any(v[5])
+    added = [(a + b) % 2**40 if 1 <= k <= 4 else a + b for k, (a, b) in enumerate(zip(v[3], v[4], strict=True))]
+    assert added == v[1] == v[2] != v[3] and not any(v[5])
     again = spark.createDataFrame([(1, "c d.\na b.\n")], "k int, text string")
     assert [[r.n_pieces, *r.vec] for r in fingerprints(again, ["k"]).collect()] == [v[3]]
 
 
+def test_fingerprints_of_inserted_and_removed_pieces(spark):
+    from strayfield.llm.fingerprint import fingerprints, inserted, removed
+
+    kind = "k int, text string"
+    prints = lambda *rows: fingerprints(spark.createDataFrame(rows, kind), ["k"])
+    shown = lambda d: {r.k: (r.n_pieces, list(r.vec)) for r in d.collect()}
+    whole, part, rest = prints((1, "a b.\nc d.\ne f."), (2, "x.")), prints((1, "c d.\n")), prints((1, "a b.\ne f."), (2, "x."))
+    assert shown(inserted(rest, part, "k")) == shown(whole) and shown(removed(whole, part, "k")) == shown(rest)
+
+
+def test_likeness_follows_shared_pieces(spark):
+    """The angle between the true counts of pieces, within the documented error."""
+    import math
+
+    from strayfield.llm.fingerprint import dot, fingerprints, likeness
+
+    rng = random.Random(12)
+    made = [[f"line {rng.randrange(50 if k % 2 else 10**6)}" for _ in range(60)] for k in range(40)]
+    made += [own[: 6 * k] + [f"other {rng.random()}" for _ in range(60 - 6 * k)] for k, own in enumerate(made[:10])]
+    v = fingerprints(spark.createDataFrame([(k, "\n".join(own) + "\n") for k, own in enumerate(made)], "k int, text string"), ["k"])
+    v = v.withColumn("norm", dot(F.col("vec"), F.col("n_pieces"), F.col("vec"), F.col("n_pieces")))
+    side = lambda c: v.select(F.col("k").alias(c), F.struct(F.col("n_pieces").alias("n"), "vec", "norm").alias(f"v{c}"))
+    parts = lambda c: {x: F.col(f"v{c}.{x}") for x in ("n", "vec", "norm")}
+    off = []
+    for r in side("a").crossJoin(side("b")).where("a < b").select("a", "b", likeness(parts("a"), parts("b")).alias("x")).collect():
+        x, y = Counter(made[r.a]), Counter(made[r.b])
+        true = sum(x[p] * y[p] for p in x) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+        off.append(abs(r.x - true))
+    assert max(off) < 0.5 and sum(off) / len(off) < 0.1
+
+
+def test_fingerprints_of_a_text_of_ten_million_pieces(spark):
+    from strayfield.llm.fingerprint import fingerprints
+
+    n = 10_000_000
+    d = spark.range(1).select(F.lit(1).alias("k"), F.repeat(F.lit("\n"), F.lit(n)).alias("text"))
+    r, one = fingerprints(d, ["k"]).first(), fingerprints(d.withColumn("text", F.lit("\n")), ["k"]).first()
+    assert r.n_pieces == n and list(r.vec[:4]) == [x * n % 2**40 for x in one.vec[:4]]
+    assert [x % 2**40 for x in r.vec[4:]] == [x % 2**40 * n % 2**40 for x in one.vec[4:]] and [x >> 40 for x in r.vec[4:]] == [(x >> 40) * n % 2**20 for x in one.vec[4:]]
+
+
 def test_fingerprints_of_odd_tables(spark, odd, empty):
     from strayfield.llm.fingerprint import edited_fingerprints
 
