@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import persisted
@@ -173,19 +173,66 @@ def signed(docs: DataFrame, ids: DataFrame, size: int, width: int = 1024) -> Dat
     return own.mapInArrow(sign, f"node {docs.schema['doc_id'].dataType.simpleString()}, _bits array<bigint>")
 
 
-def worth_confirming(width: int, sides: int, percent: int) -> Column:
-    """Of a pair met in a bucket: sizes allow it, it hasn't met in an earlier table, and its bits agree as often as those of a pair at the limit, less
-    four standard deviations (3 in 100,000 such pairs agree less often)."""
-    differ = sum((F.bit_count(F.get("_bitsa", k).bitwiseXOR(F.get("_bitsb", k))) for k in range(1, width // 64)), F.bit_count(F.get("_bitsa", 0).bitwiseXOR(F.get("_bitsb", 0))))
+def worth_confirming(side: DataFrame, width: int, sides: int, percent: int, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a bucket and are worth confirming; ``side`` has a row (key, node, of, _c, n, _half, _bits) per member.
+
+    Sizes must allow the pair, it hasn't met in an earlier table, and its bits agree as often as those of a pair at the limit, less four standard
+    deviations (3 in 100,000 such pairs agree less often). A bucket's members are dealt into blocks of about ``block``, and each two blocks
+    meet in one task, so a bucket of any size is shared among tasks, and a task holds two blocks of it at a time.
+    """
     p = (1 + percent / 100) / 2
     most = int(width - (width * p - 4 * (width * p * (1 - p)) ** 0.5))
-    t = F.col("_ta")
-    row, column = F.floor(t / sides), t % sides
-    earlier = F.lit(False)
-    for k in range(sides):
-        earlier = earlier | ((F.lit(k) < row) & (F.get("_halfa", k) == F.get("_halfb", k))) | ((F.lit(k) < column) & (F.get("_halfa", sides + k) == F.get("_halfb", sides + k)))
-    sizes = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent
-    return (F.col("a") < F.col("b")) & (F.col("_ofa") != F.col("_ofb")) & sizes & (differ <= most) & ~earlier
+    blocks = F.ceil(F.col("_c") / block).cast("int")
+    dealt = side.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "node", "of", "n", "_half", "_bits")
+    kind = side.schema["node"].dataType.simpleString()
+
+    def met(rows):
+        """Indices of the pairs of one bucket's two blocks."""
+        own, n = rows.column("_own").to_numpy(), rows.column("n").to_numpy()
+        of = rows.column("of").dictionary_encode().indices.to_numpy()
+        half = rows.column("_half").flatten().to_numpy().reshape(len(n), -1)
+        bits = rows.column("_bits").flatten().to_numpy().reshape(len(n), -1)
+        i, j = rows.column("_i")[0].as_py(), rows.column("_j")[0].as_py()
+        row, col = divmod(rows.column("key")[0].as_py() & 127, sides)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for k in range(0, len(left), 128):
+            x = left[k : k + 128]
+            apart = of[x][:, None] != of[right]
+            if i == j:
+                apart &= x[:, None] < right
+            a, b = np.nonzero(apart)
+            a, b = x[a], right[b]
+            fit = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+            a, b = a[fit], b[fit]
+            fit = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most
+            a, b = a[fit], b[fit]
+            equal = half[a] == half[b]
+            fit = ~(equal[:, :row].any(1) | equal[:, sides : sides + col].any(1))
+            yield a[fit], b[fit]
+
+    def meet(batches):
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
+            key, i, j = (rows.column(c).to_numpy() for c in ("key", "_i", "_j"))
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            begins = np.concatenate([[0], ends])
+            for k, end in zip(begins[:-1], ends, strict=True):
+                yield from told(rows.slice(k, end - k))
+            kept = rows.slice(begins[-1])
+        if kept is not None:
+            yield from told(kept)
+
+    def told(rows):
+        if len(rows) > 1:
+            for a, b in met(rows):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(c)) for c in (a, b)], names=["a", "b"])
+
+    sorted_ = dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
+    pairs = sorted_.mapInArrow(meet, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: int = 10, rows: int = 3, stars: int = 3) -> DataFrame:
@@ -228,14 +275,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: in
     labels = components(links)
 
     of = members.join(small(labels, 500_000), "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
-    split = persisted(of.groupBy("key").agg(F.min("of").alias("_low"), F.max("of").alias("_high")).where("_low <> _high").select("key"), "neardup-split")
-    open_ = persisted(of.join(small(split, 500_000), "key", "left_semi"), "neardup-open")
+    split = persisted(of.groupBy("key").agg(F.min("of").alias("_low"), F.max("of").alias("_high"), F.count("*").alias("_c")).where("_low <> _high").select("key", "_c"), "neardup-split")
+    open_ = persisted(of.join(small(split, 500_000), "key"), "neardup-open")
     bits = signed(docs, open_.select("node").distinct(), size)
     about = nodes.select("node", "n", F.transform("_half", lambda h: F.hash(h)).alias("_half")).join(bits, "node")
     about = persisted(about.dropDuplicates(["node", "n", "_half"]), "neardup-signed")
-    side = open_.join(small(about, 100_000), "node")
-    x, y = (side.select("key", F.col("node").alias(c), F.col("of").alias(f"_of{c}"), F.col("key").bitwiseAND(127).alias(f"_t{c}"), *[F.col(k).alias(f"{v}{c}") for k, v in (("n", "_n"), ("_half", "_half"), ("_bits", "_bits"))]) for c in "ab")
-    rest = x.join(y, (x["key"] == y["key"]) & worth_confirming(1024, sides, percent)).select("a", "b").distinct()
+    rest = worth_confirming(open_.join(small(about, 100_000), "node"), 1024, sides, percent)
     rest = persisted(rest.join(first, ["a", "b"], "left_anti"), "neardup-pairs")
     more = persisted(confirmed(rest, docs, size, percent), "neardup-links")
     if more.limit(1).count():

@@ -483,3 +483,37 @@ def test_urls(spark, broadcast):
         assert (r.host, r.path, r.rule, r.verdict) == urls[list(urls)[r.page_id]]
     assert judge_urls(pages.where("false"), rules).count() == 0
     assert {r.verdict for r in judge_urls(pages, rules.where("false")).collect()} == {"allow"}
+
+
+def test_blocks_of_a_bucket_meet_like_all_its_pairs(spark):
+    """Members of large buckets dealt into small blocks give the pairs that comparing every two members gives."""
+    from strayfield.llm.neardup import worth_confirming
+
+    draw = random.Random(5)
+    base = [draw.getrandbits(63) for _ in range(16)]
+    members, sides = [], 10
+    about = {}
+    for node in range(60):
+        bits = list(base)
+        for _ in range(draw.choice([20, 60, 110])):
+            bits[draw.randrange(16)] ^= 1 << draw.randrange(62)
+        about[node] = (draw.randrange(6), draw.randrange(80, 120), [draw.randrange(3) for _ in range(2 * sides)], bits)
+    for key in (3 * 128 + 0, 5 * 128 + 27, -7 * 128 + 99):
+        own = [v for v in about if draw.random() < 0.8]
+        members += [(key, v, about[v][0], len(own), *about[v][1:]) for v in own]
+    side = spark.createDataFrame(members, "key long, node long, of long, _c long, n long, _half array<int>, _bits array<long>")
+
+    most = int(1024 - (1024 * 0.9 - 4 * (1024 * 0.9 * 0.1) ** 0.5))
+    expected = set()
+    for key, a, of, _, n, half, bits in members:
+        row, col = divmod(key & 127, sides)
+        for key2, b, of2, _, n2, half2, bits2 in members:
+            if key == key2 and a < b and of != of2 and min(n, n2) * 100 >= max(n, n2) * 80:
+                apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits, bits2))
+                before = any(half[k] == half2[k] for k in range(row)) or any(half[sides + k] == half2[sides + k] for k in range(col))
+                if apart <= most and not before:
+                    expected.add((a, b))
+    assert len(expected) > 50
+    for block in (3, 16, 1024):
+        assert {tuple(r) for r in worth_confirming(side, 1024, sides, 80, block).collect()} == expected
+    assert worth_confirming(side.limit(0), 1024, sides, 80).count() == 0
