@@ -49,9 +49,10 @@ def hole_terms(holes: DataFrame) -> DataFrame:
     return holes.withColumns({"term": term, "region": region})
 
 
-def hole_candidates(holes: DataFrame, rows: DataFrame, top: int = 100) -> DataFrame:
-    """Relevant catalogue rows of each hole's term: most missed first, then by score and title."""
-    d = hole_terms(holes).join(score_candidates(rows).where("score > 0"), "term")
+def hole_candidates(holes: DataFrame, rows: DataFrame, top: int = 100, families: tuple[str, ...] = ("socrata", "opendatasoft")) -> DataFrame:
+    """Relevant catalogue rows of each hole's term in each of the families: most missed first, then by score and title."""
+    asked = hole_terms(holes).withColumn("family", F.explode(F.array(*[F.lit(f) for f in families])))
+    d = asked.join(score_candidates(rows).where("score > 0"), ["term", "family"])
     return d.orderBy(F.col("missed").desc(), F.col("score").desc(), "title", "dataset_id", "hole").limit(top)
 
 

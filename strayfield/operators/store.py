@@ -66,6 +66,15 @@ def departures(state: DataFrame, seen: DataFrame, source: str, now: Column) -> D
     return d.select("source_name", "source_animal_id", F.col("_count").alias("absent_count"), "last_confirmed", (F.col("departed") | gone).alias("departed"), gone.alias("newly_departed"))
 
 
+def marked_departed(records: DataFrame, gone: DataFrame, at: Column) -> DataFrame:
+    """``records`` with those of the links in ``gone`` (source_name, source_animal_id) set to departed, their outcome at ``at``."""
+    key = ["source_name", "source_animal_id"]
+    d = records.join(gone.select(*key).distinct().withColumn("_gone", F.lit(True)), key, "left")
+    availability = F.when(F.col("_gone"), "departed").otherwise(F.col("availability"))
+    outcome = F.when(F.col("_gone"), at).otherwise(F.col("outcome_date"))
+    return d.withColumns({"availability": availability, "outcome_date": outcome}).drop("_gone").select(*records.columns)
+
+
 def absence_strikes(presence: DataFrame, syncs: DataFrame) -> DataFrame:
     """From (source_name, source_animal_id, sync) and each source's syncs: how many latest syncs each animal has been absent from."""
     last = syncs.groupBy("source_name").agg(F.array_sort(F.collect_set("sync")).alias("_syncs"))  # one row per source and day of syncs
@@ -80,18 +89,38 @@ def delete_source(links: DataFrame, source: str) -> DataFrame:
 
 
 def backfill_insert(fetched: DataFrame, store: DataFrame, key: list[str]) -> DataFrame:
-    """Fetched rows marked inserted or skipped: known ones are never refreshed."""
+    """Fetched rows marked inserted, skipped or failed: known ones are never refreshed, those without a whole key can't be written."""
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    bad = fetched.where(~whole).withColumn("outcome", F.lit("failed"))
     known = store.select(*key).distinct().withColumn("_known", F.lit(True))
     first = F.row_number().over(Window.partitionBy(*key).orderBy("event_id")) == 1
-    return fetched.join(known, key, "left").withColumn("outcome", F.when(F.col("_known").isNull() & first, "inserted").otherwise("skipped")).drop("_known")
+    good = fetched.where(whole).join(known, key, "left").withColumn("outcome", F.when(F.col("_known").isNull() & first, "inserted").otherwise("skipped"))
+    return good.drop("_known").unionByName(bad)
+
+
+def backfill_report(outcomes: DataFrame, store: DataFrame, offered: DataFrame) -> DataFrame:
+    """Per species, and for ``all`` together: rows fetched, inserted, skipped and failed, what the store holds after, and what the source offers.
+
+    ``outcomes`` is what ``backfill_insert`` gives, ``store`` what was held before, ``offered`` (species, total) the source's own counts.
+    """
+    n = {c: F.count_if(F.col("outcome") == c).alias(c) for c in ("inserted", "skipped", "failed")}
+    counts = outcomes.groupBy("species").agg(F.count("*").alias("fetched"), *n.values())
+    held = store.groupBy("species").agg(F.count("*").alias("_held"))
+    d = offered.select("species", F.col("total").alias("offered")).join(counts, "species", "left").join(held, "species", "left").na.fill(0)
+    d = d.withColumn("stored", F.col("_held") + F.col("inserted"))
+    sums = [F.sum(c).alias(c) for c in ("fetched", *n, "stored", "offered")]
+    return d.rollup("species").agg(F.grouping("species").alias("_all"), *sums).withColumn("species", F.when(F.col("_all") == 1, "all").otherwise(F.col("species"))).drop("_all")
 
 
 def location_backfill(store: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Per store row the outcome of filling its location: only where it is null."""
-    f = fetched.select("canonical_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.lit(True).alias("_f"))
-    d = store.join(f, "canonical_id", "left")
-    outcome = F.when(F.col("_f").isNull(), "not_fetched").when(F.col("lat").isNotNull(), "already_set").when(F.col("_lat").isNull(), "no_location").otherwise("filled")
-    return d.select("canonical_id", "species", F.coalesce("lat", "_lat").alias("lat"), F.coalesce("lon", "_lon").alias("lon"), outcome.alias("outcome"))
+    """Per store row the outcome of filling its location: only where it is null. Fetched rows that the store lacks are ``not_in_store`` and give no location."""
+    f = fetched.select("canonical_id", F.col("species").alias("_species"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.lit(True).alias("_f"))
+    d = store.withColumn("_s", F.lit(True)).join(f, "canonical_id", "full_outer")
+    outcome = F.when(F.col("_s").isNull(), "not_in_store").when(F.col("_f").isNull(), "not_fetched").when(F.col("lat").isNotNull(), "already_set").when(F.col("_lat").isNull(), "no_location").otherwise("filled")
+    place = {c: F.when(F.col("_s"), F.coalesce(c, f"_{c}")).alias(c) for c in ("lat", "lon")}
+    return d.select("canonical_id", F.when(F.col("_s"), F.col("species")).otherwise(F.col("_species")).alias("species"), *place.values(), outcome.alias("outcome"))
 
 
 def delta_refresh(held: DataFrame, store: DataFrame) -> DataFrame:

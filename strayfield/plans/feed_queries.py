@@ -197,7 +197,7 @@ def catalog_candidates(t):
 
 @query(f"""WITH h AS (SELECT *, coalesce(trim(split_part(label, ',', 1)), printf('%.1f', abs(lat)) || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || ' ' || printf('%.1f', abs(lon)) || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) AS term,
 coalesce(label, printf('%.2f', abs(lat)) || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || ',' || printf('%.2f', abs(lon)) || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) AS region FROM v_holes)
-SELECT hole, region, dataset_id, CAST(s.score AS INT) AS score FROM h JOIN (SELECT * FROM ({SCORED}) WHERE score > 0) s ON h.term = s.term ORDER BY missed DESC, s.score DESC, title, dataset_id, hole LIMIT 100""")
+SELECT hole, region, dataset_id, CAST(s.score AS INT) AS score FROM h JOIN (SELECT * FROM ({SCORED}) WHERE score > 0) s ON h.term = s.term AND s.family IN ('socrata', 'opendatasoft') ORDER BY missed DESC, s.score DESC, title, dataset_id, hole LIMIT 100""")
 def hole_candidates(t):
     return discover.hole_candidates(t.v_holes, t.v_datasets).select("hole", "region", "dataset_id", F.col("score").cast("int").alias("score"))
 

@@ -73,6 +73,17 @@ def departures(t):
     return store.departures(link_state(t), batch(t), "src2", now).drop("last_confirmed")
 
 
+@query(f"""WITH l AS (SELECT source_name, source_animal_id, max(event_id) AS e, max(last_confirmed) AS c FROM v_intake WHERE last_seen < TIMESTAMP '{CUT}' AND source_animal_id IS NOT NULL AND source_name = 'src2' GROUP BY ALL),
+g AS (SELECT source_animal_id FROM l WHERE e % 7 <> 0 AND (e % 2 = 1 OR coalesce(c < TIMESTAMP '2024-01-24 00:00:00', FALSE)) AND source_animal_id NOT IN (SELECT source_animal_id FROM v_intake WHERE source_name = 'src2' AND source_animal_id IS NOT NULL AND last_seen >= TIMESTAMP '{CUT}'))
+SELECT i.canonical_id, CASE WHEN g.source_animal_id IS NOT NULL THEN 'departed' ELSE i.availability END AS availability, epoch_us(CASE WHEN g.source_animal_id IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE i.outcome_date END) AS outcome_date
+FROM v_intake i LEFT JOIN g ON i.source_name = 'src2' AND i.source_animal_id = g.source_animal_id""")
+def mark_departed(t):
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    gone = store.departures(link_state(t), batch(t), "src2", now).where("newly_departed")
+    records = t.v_intake.withColumn("outcome_date", F.col("outcome_date").cast("timestamp"))
+    return store.marked_departed(records, gone, now).select("canonical_id", "availability", F.unix_micros("outcome_date").alias("outcome_date"))
+
+
 @query("""WITH y AS (SELECT DISTINCT source_name, sync FROM v_sync), l AS (SELECT source_name, source_animal_id, max(sync) AS last_sync FROM v_sync GROUP BY ALL)
 SELECT source_name, source_animal_id, last_sync, CAST((SELECT count(*) FROM y WHERE y.source_name = l.source_name AND y.sync > l.last_sync) AS INT) AS strikes FROM l""")
 def absence_strikes(t):
@@ -88,12 +99,12 @@ def delete_source(t):
     return store.delete_source(l, "src1")
 
 
-OUTCOME = f"""SELECT b.canonical_id, b.species, CASE WHEN l.known IS NULL AND row_number() OVER (PARTITION BY b.source_name, b.source_animal_id ORDER BY b.event_id) = 1 THEN 'inserted' ELSE 'skipped' END AS outcome FROM v_intake b
-LEFT JOIN ({LINKS}) l ON b.source_name = l.source_name AND b.source_animal_id = l.source_animal_id WHERE b.last_seen >= TIMESTAMP '{CUT}' AND b.source_animal_id IS NOT NULL"""
+OUTCOME = f"""SELECT b.canonical_id, b.species, CASE WHEN b.source_animal_id IS NULL THEN 'failed' WHEN l.known IS NULL AND row_number() OVER (PARTITION BY b.source_name, b.source_animal_id ORDER BY b.event_id) = 1 THEN 'inserted' ELSE 'skipped' END AS outcome FROM v_intake b
+LEFT JOIN ({LINKS}) l ON b.source_name = l.source_name AND b.source_animal_id = l.source_animal_id WHERE b.last_seen >= TIMESTAMP '{CUT}'"""
 
 
 def backfilled(t):
-    return store.backfill_insert(batch(t).where("source_animal_id is not null"), links(t), ["source_name", "source_animal_id"])
+    return store.backfill_insert(batch(t), links(t), ["source_name", "source_animal_id"])
 
 
 @query(f"SELECT canonical_id, outcome FROM ({OUTCOME})")
@@ -101,9 +112,13 @@ def backfill_insert(t):
     return backfilled(t).select("canonical_id", "outcome")
 
 
-@query(f"SELECT species, count(*) AS fetched, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'skipped') AS skipped FROM ({OUTCOME}) GROUP BY species")
+@query(f"""WITH o AS (SELECT species, count(*) AS fetched, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed FROM ({OUTCOME}) GROUP BY species),
+h AS (SELECT species, count(DISTINCT source_name || '/' || source_animal_id) AS held FROM v_intake WHERE last_seen < TIMESTAMP '{CUT}' GROUP BY species), a AS (SELECT species, count(*) AS offered FROM v_intake GROUP BY species),
+d AS (SELECT a.species, coalesce(fetched, 0) AS fetched, coalesce(inserted, 0) AS inserted, coalesce(skipped, 0) AS skipped, coalesce(failed, 0) AS failed, coalesce(held, 0) + coalesce(inserted, 0) AS stored, offered FROM a LEFT JOIN o ON a.species = o.species LEFT JOIN h ON a.species = h.species)
+SELECT * FROM d UNION ALL SELECT 'all', CAST(sum(fetched) AS BIGINT), CAST(sum(inserted) AS BIGINT), CAST(sum(skipped) AS BIGINT), CAST(sum(failed) AS BIGINT), CAST(sum(stored) AS BIGINT), CAST(sum(offered) AS BIGINT) FROM d""")
 def backfill_report(t):
-    return backfilled(t).groupBy("species").agg(F.count("*").alias("fetched"), F.count_if(F.col("outcome") == "inserted").alias("inserted"), F.count_if(F.col("outcome") == "skipped").alias("skipped"))
+    held = t.v_intake.where((F.col("last_seen") < cut()) & F.col("source_animal_id").isNotNull()).select("species", "source_name", "source_animal_id").distinct()
+    return store.backfill_report(backfilled(t), held, t.v_intake.groupBy("species").agg(F.count("*").alias("total")))
 
 
 @query("SELECT species, count(*) AS total, CAST(ceil(count(*) / 250) AS BIGINT) AS pages, count(lat) AS with_location FROM v_intake GROUP BY species")
@@ -124,11 +139,14 @@ def backfill_progress(t):
     return pages.join(done, ["species", "page"], "left_anti").groupBy("species", "page").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT species, CASE WHEN event_id % 5 = 0 THEN 'not_fetched' WHEN lat IS NOT NULL THEN 'already_set' WHEN event_id % 3 = 0 THEN 'no_location' ELSE 'filled' END AS outcome, CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN 1 ELSE lat END AS now FROM v_intake)
+@query("""WITH d AS (SELECT species, CASE WHEN event_id % 5 = 0 THEN 'not_fetched' WHEN lat IS NOT NULL THEN 'already_set' WHEN event_id % 3 = 0 THEN 'no_location' ELSE 'filled' END AS outcome, CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN 1 ELSE lat END AS now FROM v_intake
+UNION ALL SELECT species, 'not_in_store', NULL FROM v_intake WHERE event_id % 23 = 0)
 SELECT species, outcome, count(*) AS n, count(now) AS with_location FROM d GROUP BY ALL""")
 def location_backfill(t):
+    """One fetched row in 23 is of an animal that the store lacks."""
     v = t.v_intake
-    fetched = v.where("event_id % 5 <> 0").select("canonical_id", F.when(F.col("event_id") % 3 != 0, 30.0).alias("lat"), F.when(F.col("event_id") % 3 != 0, -97.0).alias("lon"))
+    strange = v.where("event_id % 23 = 0").select(F.concat(F.lit("x"), "canonical_id").alias("canonical_id"), "species", F.lit(30.0).alias("lat"), F.lit(-97.0).alias("lon"))
+    fetched = v.where("event_id % 5 <> 0").select("canonical_id", "species", F.when(F.col("event_id") % 3 != 0, 30.0).alias("lat"), F.when(F.col("event_id") % 3 != 0, -97.0).alias("lon")).unionByName(strange)
     return store.location_backfill(v, fetched).groupBy("species", "outcome").agg(F.count("*").alias("n"), F.count("lat").alias("with_location"))
 
 

@@ -77,7 +77,8 @@ SELECT p_partkey AS dataset_id, CASE p_size % 9 WHEN 0 THEN 'Animal Intake Recor
   CASE p_partkey % 6 WHEN 0 THEN [[LIST('animal_id', 'animal_type', 'intake_type', 'intake_date', 'breed', 'color')]] WHEN 1 THEN [[LIST(':id', 'AnimalID', 'Species', 'Entry_Reason', 'Status', 'name')]]
   WHEN 2 THEN [[LIST('id', 'type', 'found_location')]] WHEN 3 THEN [[LIST('record_id', 'species', 'datetime', 'outcome_date', 'microchip_no')]] WHEN 4 THEN [[LIST('street', 'zip')]] ELSE [[LIST('animal_number', 'animal_type', 'intake_subtype', 'custody_status', 'pet_name')]] END AS columns,
   CASE WHEN p_partkey % 4 = 0 THEN 'STRAY' WHEN p_partkey % 4 = 1 THEN 'OWNER SURRENDER' WHEN p_partkey % 4 = 2 THEN 'found report' ELSE NULL END AS sample_intake,
-  'dom' || CAST(p_partkey % 3 AS [[S]]) AS domain, 'term' || CAST(p_partkey % 25 AS [[S]]) AS term FROM part""",
+  'dom' || CAST(p_partkey % 3 AS [[S]]) AS domain, 'term' || CAST(p_partkey % 25 AS [[S]]) AS term,
+  CASE p_partkey % 7 WHEN 0 THEN 'arcgis' WHEN 1 THEN 'opendatasoft' WHEN 2 THEN 'opendatasoft' ELSE 'socrata' END AS family FROM part""",
     "v_holes": """
 SELECT n_nationkey AS hole, 25 + CAST(n_nationkey * 41 % 240 AS DOUBLE) / 10 AS lat, -124 + CAST(n_nationkey * 67 % 570 AS DOUBLE) / 10 AS lon, CAST(n_nationkey % 5 * 1000 AS BIGINT) AS missed,
   CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'term' || CAST(n_nationkey AS [[S]]) || ', TX' END AS label FROM nation""",

@@ -199,6 +199,30 @@ def test_departures_stay_within_their_source(spark):
     assert got == {("a", "1"): (0, False), ("b", "1"): (0, False), ("b", "2"): (2, True), ("b", "3"): (1, True), ("b", "4"): (2, False)}
 
 
+def test_backfills_count_what_fails_and_what_is_unknown(spark):
+    kind = "source_name string, source_animal_id string, event_id int, species string"
+    fetched = spark.createDataFrame([("a", "1", 1, "dog"), ("a", "2", 2, "dog"), ("a", "2", 3, "dog"), ("a", None, 4, "dog"), ("a", None, 5, "cat")], kind)
+    held = spark.createDataFrame([("a", "1", 0, "dog")], kind)
+    outcomes = store.backfill_insert(fetched, held, ["source_name", "source_animal_id"])
+    assert {r.event_id: r.outcome for r in outcomes.collect()} == {1: "skipped", 2: "inserted", 3: "skipped", 4: "failed", 5: "failed"}
+    offered = spark.createDataFrame([("dog", 9), ("cat", 1), ("bird", 2)], "species string, total bigint")
+    got = {r.species: (r.fetched, r.inserted, r.skipped, r.failed, r.stored, r.offered) for r in store.backfill_report(outcomes, held, offered).collect()}
+    assert got == {"dog": (4, 1, 2, 1, 2, 9), "cat": (1, 0, 0, 1, 0, 1), "bird": (0, 0, 0, 0, 0, 2), "all": (5, 1, 2, 2, 2, 12)}
+    kind = "canonical_id string, species string, lat double, lon double"
+    rows = spark.createDataFrame([("n", "dog", None, None), ("s", "dog", 1.0, 1.0), ("m", "cat", None, None), ("l", "cat", None, None)], kind)
+    more = spark.createDataFrame([("n", "dog", 2.0, 3.0), ("s", "dog", 5.0, 5.0), ("m", "cat", None, None), ("x", "cat", 4.0, 4.0)], kind)
+    got = {r.canonical_id: (r.lat, r.outcome) for r in store.location_backfill(rows, more).collect()}
+    assert got == {"n": (2.0, "filled"), "s": (1.0, "already_set"), "m": (None, "no_location"), "l": (None, "not_fetched"), "x": (None, "not_in_store")}
+
+
+def test_departed_records_get_their_outcome(spark):
+    at = datetime(2024, 1, 31)
+    records = spark.createDataFrame([("a", "1", "adoptable", None), ("a", None, "adoptable", None), ("b", "1", "unknown", None)], "source_name string, source_animal_id string, availability string, outcome_date timestamp")
+    gone = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", None)], "source_name string, source_animal_id string")
+    got = sorted((r.source_name, str(r.source_animal_id), r.availability, r.outcome_date) for r in store.marked_departed(records, gone, F.lit(at)).collect())
+    assert got == [("a", "1", "departed", at), ("a", "None", "adoptable", None), ("b", "1", "unknown", None)]
+
+
 def test_upsert_is_idempotent(spark):
     kind = "key string, v int, created_at int, absent_count int"
     old = spark.createDataFrame([("a", 1, 5, 1), ("b", 2, 5, 0)], kind)
