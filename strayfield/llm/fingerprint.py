@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import persisted
 
-PIECE = r"[^\n.]{1,80}\.?\n?|\.\n?|\n"
+#: A full stop ends a piece only before white space or at the end of the text: numbers, abbreviations and host names stay whole.
+PIECE = r"(?:[^\n.]|\.(?=\S)){1,80}+\.?\n?|\.\n?|\n"
 PAIR = (1 << 20) | 1
 LOW20, LOW40 = (1 << 20) - 1, (1 << 40) - 1
 BIT_WORDS = 40
