@@ -28,8 +28,8 @@ def piece_sums() -> list[Column]:
     wide = [x for k in (2, 3) for x in (h[k].bitwiseAND(LOW40), F.shiftrightunsigned(h[k], 24))]
     halves = [y for x in wide for y in (x.bitwiseAND(LOW20), F.shiftrightunsigned(x, 20))]
     pairs = [F.shiftright(h[k], a).bitwiseAND(PAIR) for k in (0, 1) for a in range(20)]
-    # the third lanes, at bit 40 of the hashes, two to a sum
-    thirds = [F.shiftright(h[k], 40 + a).bitwiseAND(1) + F.shiftleft(F.shiftright(h[k], 41 + a).bitwiseAND(1), 20) for k in (0, 1) for a in range(0, 20, 2)]
+    # the third lanes, at bit 40 of the hashes, two to a sum, so far apart that the lower can't carry into the upper
+    thirds = [F.shiftright(h[k], 40 + a).bitwiseAND(1) + F.shiftleft(F.shiftright(h[k], 41 + a).bitwiseAND(1), 32) for k in (0, 1) for a in range(0, 20, 2)]
     return [F.coalesce(F.sum(x), F.lit(0)) for x in halves + pairs + thirds]
 
 
@@ -39,7 +39,7 @@ def packed(s: list[Column]) -> list[Column]:
     lanes = []
     for k in range(BIT_WORDS):
         third = s[8 + BIT_WORDS + k // 2]
-        third = F.shiftrightunsigned(third, 20) if k % 2 else third
+        third = F.shiftrightunsigned(third, 32) if k % 2 else third
         lanes.append(s[8 + k].bitwiseAND(LOW40).bitwiseOR(F.shiftleft(third.bitwiseAND(LOW20), 40)))
     return wide + lanes
 
