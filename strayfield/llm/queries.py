@@ -72,9 +72,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rules} AS rules(rule, verdict)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc, op4_near_duplicates, op5_language_id, op6_pii, op7_token_count, op8_fingerprint, op9_mixing, op10_url_filter)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verified
+
+    return verified(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc, op4_near_duplicates, op5_language_id, op6_pii, op7_token_count, op8_fingerprint, op9_mixing, op10_url_filter, op11_merkle_manifest)}
+
+#: Of ``s``, the digits of an id: the register of crc32 after them, less its last complement.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
 
 ORACLES = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE t AS (SELECT *, CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+d AS (SELECT doc_id, coalesce(1 || source, '') AS g, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf, sha256({_LEAF} || {_FIELD.format("changed")}) AS tampered FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+up AS (SELECT g, 0 AS lvl, pos, leaf AS h, n FROM p UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY g, lvl, pos // 3, n),
+sub AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS spot, count(*) OVER () AS m FROM (SELECT g, lvl AS depth, h AS subroot FROM up WHERE n = 1)),
+top AS (SELECT 0 AS lvl, spot AS pos, subroot AS h, m AS n FROM sub UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
+al AS (SELECT g, lvl, pos, h FROM up WHERE n > 1 UNION ALL SELECT s.g, s.depth + top.lvl, top.pos, top.h FROM top, sub s WHERE top.n > 1),
+beside AS (SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+  FROM al a JOIN al b ON a.g = b.g AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 GROUP BY ALL),
+fold AS (SELECT p.doc_id, p.leaf, p.g, s.depth, s.spot, 0 AS lvl, CASE WHEN s.depth = 0 THEN s.spot ELSE p.pos END AS pos, p.tampered AS h, '' AS proof FROM p JOIN sub s USING (g)
+  UNION ALL SELECT f.doc_id, f.leaf, f.g, f.depth, f.spot, f.lvl + 1, CASE WHEN f.lvl + 1 = f.depth THEN f.spot ELSE f.pos // 3 END, sha256(b.lft || f.h || b.rgt), f.proof || b.lft || b.rgt FROM fold f JOIN beside b ON b.g = f.g AND b.lvl = f.lvl AND b.pos = f.pos),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM fold f JOIN sub s USING (g), root WHERE f.lvl = s.depth + (SELECT max(lvl) FROM top)
+""",
     "op1_decontamination": r"""
 WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
