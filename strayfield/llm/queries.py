@@ -84,7 +84,13 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc, op4_near_duplicates, op5_language_id, op6_pii, op7_token_count, op8_fingerprint, op9_mixing, op10_url_filter, op11_merkle_manifest, op12_simhash)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .balltree import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc, op4_near_duplicates, op5_language_id, op6_pii, op7_token_count, op8_fingerprint, op9_mixing, op10_url_filter, op11_merkle_manifest, op12_simhash, op13_ranked_search)}
 
 #: Of ``s``, the digits of an id: the register of crc32 after them, less its last complement.
 _CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
@@ -93,6 +99,17 @@ _FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR),
 _LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
 
 ORACLES = {
+    "op13_ranked_search": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents),
+d AS (SELECT * FROM t WHERE len(w) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+m AS (SELECT row, doc_id, 10 + (90 * CAST(len(w) AS BIGINT) * big_n) // big_l AS m FROM d, c),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+s AS (SELECT item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+""",
     "op11_merkle_manifest": f"""
 WITH RECURSIVE t AS (SELECT *, CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
 d AS (SELECT doc_id, coalesce(1 || source, '') AS g, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf, sha256({_LEAF} || {_FIELD.format("changed")}) AS tampered FROM t),
