@@ -253,7 +253,7 @@ def bunched(items: Iterator, most: int) -> Iterator[tuple[list, list[list[int]],
         yield ids, sets, number
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10, leaf: int = 32, tree_docs: int = 4096, tree_postings: int = 4_000_000, groups: int = 256, bunch_terms: int = 200_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, leaf: int = 16, tree_docs: int = 2048, tree_postings: int = 4_000_000, groups: int = 2048, bunch_terms: int = 200_000) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` documents that score most, above 0, for each row of ``items`` (item_id, text); equal scores by ascending doc_id.
 
     Exact. A null or wordless text of a document is in no count and no result, that of an item has no results. Rows that repeat an id are documents, or items, of
