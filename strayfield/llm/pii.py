@@ -1,9 +1,9 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that give it away.
 
-Patterns find the protected entities (e-mail and IP addresses, card and phone numbers). Over the whole corpus, words that stand
-near an entity are counted with it, and by themselves. A word discloses an entity if the entity is likely given the word, the word
-tells many bits about it (pointwise mutual information), and they stand together in several different contexts, so that mere copies of
-one text don't count. Disclosing words are generalised like the entities themselves.
+Patterns find the protected entities (e-mail and IP addresses, card and phone numbers) and their classes (an address's domain, a
+network, an issuer, an area). Over all distinct texts, words that stand near an entity or class are counted with it, and by themselves. A
+word discloses an entity if, by a lower confidence bound, the entity is more likely than not given the word, and the word tells many bits
+about it (pointwise mutual information); so does a rare name that stands in one text alone, beside an address. Disclosing words are generalised like the entities themselves.
 """
 
 from __future__ import annotations
@@ -83,11 +83,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Disclosure:
-    """When a word discloses an entity: in how many different contexts they stand together at least, how likely the entity is in a
-    document with the word, and how many bits the word tells about it."""
+    """When a word discloses an entity: how likely the entity is in a text with the word, at least, by Wilson's lower bound of
+    ``deviations`` standard errors, and how many bits the word tells about it. By the defaults one text suffices if the word stands in no
+    other; of four texts with the word three must have the entity beside it. ``posterior`` above 0.5 asks for two texts at least."""
 
-    contexts: int = 3
-    posterior: float = 0.8
+    posterior: float = 0.5
+    deviations: float = 1.0
     bits: float = 4.0
     reach: int = 8
     shortest: int = 3
@@ -127,10 +128,31 @@ def words_before(place: Column) -> Column:
     return chunk * STRIDE + F.aggregate(steps, begin, count, lambda a: a["n"])
 
 
+def entities(span: Column) -> Column:
+    """The protected value of a span, and the class it falls in."""
+    value, number = F.lower(span["value"]), digits(span["value"])
+    of_kind = {
+        "email": (value, F.concat(F.lit("domain:"), F.substring_index(value, "@", -1))),
+        "ip": (value, F.concat(F.lit("network:"), F.substring_index(value, ".", 2))),
+        "card": (number, F.concat(F.lit("issuer:"), F.substring(number, 1, 6))),
+        "phone": (number, F.concat(F.lit("area:"), F.substring(number, F.lit(1), F.length(number) - 7))),
+    }
+    chosen = F.lit(None).cast("array<string>")
+    for kind, (own, group) in of_kind.items():
+        chosen = F.when(span["kind"] == kind, F.array(F.concat(F.lit(kind + ":"), own), group)).otherwise(chosen)
+    return chosen
+
+
+def text_hash(text: Column) -> Column:
+    """Copies of a text count once: 64 bits stand for it."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def neighbours(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """(_row, entity, context, word): the words within reach of each entity, of whatever length they are. Words that lie in it, or partly, aren't."""
-    d = base_spans(docs.select("text", F.monotonically_increasing_id().alias("_row"))).where(F.size("_spans") > 0)
-    d = indexed(d).select("_row", "_words", "_steps", "_marks", F.explode("_spans").alias("s"))
+    """(_text, entity, word), each once: the words within reach of each entity, and of its class, of whatever length they are. Words that lie in it,
+    or partly, aren't. An entity without such words has a row with a null word."""
+    d = base_spans(docs.select("text", text_hash(F.col("text")).alias("_text"))).where(F.size("_spans") > 0)
+    d = indexed(d).select("_text", "_words", "_steps", "_marks", F.explode("_spans").alias("s"))
     d = d.withColumns({"_before": words_before(F.col("s.start")), "_upto": words_before(F.col("s.end"))})
     last = F.greatest(F.lit(0), F.col("_before") - 1)
     inside = (F.col("_before") > 0) & (start_of(last) + F.char_length(F.get("_words", last)) > F.col("s.start"))
@@ -139,31 +161,37 @@ def neighbours(docs: DataFrame, rule: Disclosure) -> DataFrame:
     lowered = lambda words: F.transform(words, lambda w: F.lower(w))
     left = lowered(F.slice("_words", low + 1, F.col("_before") - low))
     right = lowered(F.slice("_words", F.col("_upto") + 1, F.lit(rule.reach)))
-    value = F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    d = d.select("_row", F.concat_ws(":", "s.kind", value).alias("entity"), left.alias("_left"), right.alias("_right"))
-    near = F.array_distinct(F.concat("_left", "_right"))
-    d = d.select("_row", "entity", F.xxhash64("_left", "_right").alias("context"), F.explode(near).alias("word"))
-    return d.where((F.length("word") >= rule.shortest) & ~F.col("word").rlike("^[0-9]+$"))
+    near = F.filter(F.array_distinct(F.concat(left, right)), lambda w: (F.length(w) >= rule.shortest) & ~w.rlike("^[0-9]+$"))
+    d = d.select("_text", F.explode(entities(F.col("s"))).alias("entity"), near.alias("_near"))
+    return d.select("_text", "entity", F.explode_outer("_near").alias("word")).distinct()
+
+
+def lower_bound(k: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of which ``k`` of ``n`` are seen. It falls as ``n`` grows."""
+    return (k + z * z / 2 - z * F.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
 
 
 def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), broadcast_words: int = 100_000) -> DataFrame:  # noqa: B008
-    """(word, entity, posterior, bits) of the words that disclose an entity, from counts over all documents."""
+    """(word, entity, posterior, bits) of the words that disclose an entity or a class, from counts over all distinct texts. ``posterior`` is the bound."""
     near = persisted(neighbours(docs, rule), "pii-near")
-    pairs = near.groupBy("entity", "word").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_row").alias("both")).where(F.col("contexts") >= rule.contexts)
-    # a word stands in at least as many documents as it stands in near any entity: what that alone rules out needn't be counted over all
-    beside = near.groupBy("word").agg(F.countDistinct("_row").alias("_beside"))
-    pairs = persisted(pairs.join(beside, "word").where(F.col("both") >= rule.posterior * F.col("_beside")).drop("_beside"), "pii-pairs")
+    # a word stands in at least as many texts as it stands in near any entity: what that alone rules out needn't be counted over all
+    worded = near.where("word is not null")
+    beside = worded.groupBy("word").agg(F.countDistinct("_text").alias("_beside"))
+    pairs = worded.groupBy("entity", "word").agg(F.count("*").alias("both")).where(lower_bound(F.col("both"), F.col("both"), rule.deviations) >= rule.posterior)
+    pairs = pairs.join(beside, "word").where(lower_bound(F.col("both"), F.col("_beside"), rule.deviations) >= rule.posterior)
+    pairs = persisted(pairs.drop("_beside"), "pii-pairs")
     words = pairs.select("word").distinct()
     n_words = words.limit(broadcast_words + 1).count()
     if not n_words:
         return pairs.select("word", "entity", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("bits"))
-    every = docs.select(F.explode(F.array_distinct(words_of(F.col("text").cast("string")))).alias("word"))
-    alone = every.join(F.broadcast(words) if n_words <= broadcast_words else words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("alone"))
-    entity = near.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    n = docs.count()
-    posterior = F.col("both") / F.col("alone")
+    every = docs.select(text_hash(F.col("text")).alias("_text"), F.explode(F.array_distinct(words_of(F.col("text").cast("string")))).alias("word"))
+    asked = F.broadcast(words) if n_words <= broadcast_words else words
+    alone = every.join(asked, "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("alone"))
+    entity = near.groupBy("entity").agg(F.countDistinct("_text").alias("of_entity"))
+    n = docs.select(text_hash(F.col("text")).alias("_text")).distinct().count()
+    told = pairs.join(alone, "word").join(entity, "entity")
     bits = F.log2(F.col("both") * F.lit(float(n)) / (F.col("alone") * F.col("of_entity")))
-    told = pairs.join(alone, "word").join(entity, "entity").select("word", "entity", posterior.alias("posterior"), bits.alias("bits"))
+    told = told.select("word", "entity", lower_bound(F.col("both"), F.col("alone"), rule.deviations).alias("posterior"), bits.alias("bits"))
     return told.where((F.col("posterior") >= rule.posterior) & (F.col("bits") >= rule.bits))
 
 

@@ -97,29 +97,33 @@ def contamination(docs, items, window=10):
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def all_spans(docs: list[tuple[object, str | None]], contexts=3, posterior=0.8, bits=4.0, reach=8, shortest=3) -> tuple[list[str], set[str]]:
+def all_spans(docs: list[tuple[object, str | None]], posterior=0.5, bits=4.0, reach=8, shortest=3) -> tuple[list[str], set[str]]:
     """The spans of each document, disclosing words among them, and these words."""
     found = [base_spans(t) for _, t in docs]
     words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(TERM, t or "")] for _, t in docs]
-    near, of_entity = {}, {}
-    for k, (_, t) in enumerate(docs):
-        for start, _, kind, end in found[k]:
-            entity = (kind, re.sub("[^0-9]", "", t[start:end]) if kind in ("card", "phone") else t[start:end].lower())
-            left = tuple(w for _, e, w in words[k] if e <= start)[-reach:]
-            right = tuple(w for s, _, w in words[k] if s >= end)[:reach]
-            of_entity.setdefault(entity, set()).add(k)
-            for w in {*left, *right}:
-                if len(w) >= shortest and not re.fullmatch("[0-9]+", w):
-                    own = near.setdefault((w, entity), (set(), set()))
-                    own[0].add((left, right))
-                    own[1].add(k)
-    alone = {}
-    for k, own in enumerate(words):
+    near, of_entity, alone = {}, {}, {}
+    texts = {t or "" for _, t in docs}
+    for t in texts:
+        own = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(TERM, t)]
         for w in {w for _, _, w in own}:
             alone[w] = alone.get(w, 0) + 1
+        for start, _, kind, end in base_spans(t):
+            value, number = t[start:end].lower(), re.sub("[^0-9]", "", t[start:end])
+            group = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": number[:6], "phone": number[:-7]}[kind]
+            left = [w for _, e, w in own if e <= start][-reach:]
+            right = [w for s, _, w in own if s >= end][:reach]
+            for entity in ((kind, number if kind in ("card", "phone") else value), (kind, "class", group)):
+                of_entity.setdefault(entity, set()).add(t)
+                for w in {*left, *right}:
+                    if len(w) >= shortest and not re.fullmatch("[0-9]+", w):
+                        near.setdefault((w, entity), set()).add(t)
+
+    def likely(k, n):
+        return (k + 0.5 - math.sqrt(k * (n - k) / n + 0.25)) / (n + 1)
+
     telling = {
-        w for (w, e), (c, d) in near.items()
-        if len(c) >= contexts and len(d) / alone[w] >= posterior and math.log2(len(d) * len(docs) / (alone[w] * len(of_entity[e]))) >= bits
+        w for (w, e), d in near.items()
+        if likely(len(d), alone[w]) >= posterior and math.log2(len(d) * len(texts) / (alone[w] * len(of_entity[e]))) >= bits
     }
     out = []
     for base, own in zip(found, words, strict=True):

@@ -236,7 +236,7 @@ def test_base_spans(spark, odd, texts):
 
 
 def test_words_that_give_an_entity_away(spark, empty):
-    from strayfield.llm.pii import personal_data, sanitised
+    from strayfield.llm.pii import Disclosure, personal_data, sanitised
 
     fill = [f"filler{k}" for k in range(60)]
     rng = random.Random(2)
@@ -250,16 +250,23 @@ def test_words_that_give_an_entity_away(spark, empty):
     clean = {r.doc_id: r.text for r in sanitised(d).collect()}
     assert clean[400].startswith("again [TERM] ") and "[TERM] [EMAIL]" in clean[0] and clean[401] is None and clean[50] == made[6][1]
     copies = spark.createDataFrame([(k, made[0][1]) for k in range(20)] + made[6:306], "doc_id bigint, text string")
-    assert not any(r.n_term for r in personal_data(copies).collect())  # copies add no context
+    found = {r.doc_id: r.n_term for r in personal_data(copies).collect()}
+    # copies are one text: enough for a name that stands nowhere else, unless two are asked for
+    assert all(found[k] == (k < 20) for k in found)
+    assert not any(r.n_term for r in personal_data(copies, Disclosure(posterior=0.6)).collect())
     assert personal_data(empty).count() == 0
 
 
 def test_spans_are_those_of_plain_python(spark, texts, odd):
-    """Disclosing words too, beside words of any length, with many of them in one text, and across the marks of the word index."""
+    """Disclosing words too, of which the given table has some, beside words of any length, with many of them in one text, and across the marks of the word index."""
     from strayfield.llm.pii import personal_data
 
     got = {r.doc_id: r.spans for r in queries.op6_pii(spark, SF).collect()}
-    assert got == dict(zip([i for i, _ in texts], brute.all_spans(texts)[0], strict=True))
+    want, telling = brute.all_spans(texts)
+    assert got == dict(zip([i for i, _ in texts], want, strict=True))
+    larger = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want, telling = brute.all_spans(larger)
+    assert telling and {r.doc_id: r.spans for r in queries.op6_pii(spark, f"{DATA}/sf0.01").collect()} == dict(zip([i for i, _ in larger], want, strict=True))
     rng = random.Random(9)
     fill = [f"filler{k}" for k in range(60)]
     said = lambda n=9: " ".join(rng.sample(fill, n))
