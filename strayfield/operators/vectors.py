@@ -83,6 +83,35 @@ def per_animal(hits: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_animals(gallery: DataFrame, queries: DataFrame, k: int, animal: str = "canonical_id", key: str = "vec_id", per_block: tuple[int, int] = (8192, 4096)) -> DataFrame:
+    """(query_id, animal, similarity, rank): the k animals whose best photo is most alike to each query, of its species, whatever number of photos each has.
+
+    Exact: a block gives its k best animals by their best photo in it, and the block with an animal's best photo of all has it among them
+    unless k animals beat it. Photos without an animal are no hits.
+    """
+
+    def score(g: pa.Table, q: pa.Table) -> pa.Table:
+        a, b = matrix(g["embedding"]), matrix(q["embedding"])
+        _, animals = np.unique(np.array(g[animal].to_pylist(), object), return_inverse=True)
+        rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for own, asked in by_species(g, q):
+            own = own[np.argsort(animals[own], kind="stable")]
+            starts = np.flatnonzero(np.diff(animals[own], prepend=-1))
+            for low in range(0, len(asked), 256):
+                part = asked[low : low + 256]
+                sim = np.maximum.reduceat(np.maximum(0.0, b[part] @ a[own].T), starts, axis=1)
+                least = np.partition(sim, -k, axis=1)[:, -k, None] - 1e-9 if len(starts) > k else -1.0
+                x, y = np.nonzero(sim >= least)
+                rows.append(part[x])
+                cols.append(own[starts[y]])
+                values.append(sim[x, y])
+        return pa.table({"query_id": q["query_id"].take(pa.array(np.concatenate(rows))), animal: g[animal].take(pa.array(np.concatenate(cols))), "similarity": np.concatenate(values)})
+
+    owned = gallery.where(F.col(animal).isNotNull()).select(key, animal, "species", "embedding")
+    found = in_blocks(owned, queries.select("query_id", "species", "embedding"), key, per_block, score, f"{kinds(gallery, queries, animal)}, similarity double")
+    return per_animal(found.withColumnRenamed(animal, "canonical_id"), k).withColumnRenamed("canonical_id", animal)
+
+
 def signatures(d: DataFrame, bits: int, seed: int) -> DataFrame:
     """``d`` with ``code`` for ``embedding``: on which side of each of ``bits`` random hyperplanes a vector lies."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "embedding"]

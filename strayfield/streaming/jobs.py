@@ -71,15 +71,14 @@ def alert_sink(folder: str, reports: DataFrame, threshold: float = 0.8):
 
 
 def match_sink(folder: str, photos: DataFrame, reports: DataFrame, k: int = 10, threshold: float = 0.8):
-    """A foreachBatch sink for new gallery vectors (vec_id, canonical_id, species, embedding): the ``k`` nearest of a batch to each photo (report_id, species,
+    """A foreachBatch sink for new gallery vectors (vec_id, canonical_id, species, embedding): the ``k`` nearest animals of a batch to each photo (report_id, species,
     embedding) of an active report become alerts, once each, in the ledger in ``folder``."""
     from ..operators import vectors
 
     send = alert_sink(folder, reports, threshold)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        near = vectors.knn(batch, photos.select(F.col("report_id").alias("query_id"), "species", "embedding"), k)
-        hits = vectors.per_animal(near.join(batch.select("vec_id", "canonical_id"), "vec_id"), k)
+        hits = vectors.knn_animals(batch, photos.select(F.col("report_id").alias("query_id"), "species", "embedding"), k)
         send(hits.select(F.col("query_id").alias("report_id"), F.col("canonical_id").alias("candidate_id"), F.col("similarity").alias("score")), epoch)
 
     return sink

@@ -234,6 +234,20 @@ def test_upsert_is_idempotent(spark):
         assert {(r.key, r.v, r.created_at, r.absent_count) for r in d.collect()} == want
 
 
+def test_best_animals_with_many_photos(spark):
+    """One animal with fifty photos, all nearest, doesn't displace the others, in whatever blocks its photos lie."""
+    from strayfield.operators import vectors
+
+    turn = lambda x: [1.0, float(x)]
+    photos = [(k, "many", "dog", turn(k / 1000)) for k in range(50)] + [(100 + k, f"a{k}", "dog", turn(1.0 + k)) for k in range(6)] + [(200, "c", "cat", turn(0)), (201, None, "dog", turn(0))]
+    g = spark.createDataFrame(photos, "vec_id bigint, canonical_id string, species string, embedding array<double>")
+    q = spark.createDataFrame([(1, "dog", turn(0.0)), (2, "bird", turn(0.0))], "query_id bigint, species string, embedding array<double>")
+    for blocks in ((8192, 4096), (7, 1)):
+        got = sorted((r["rank"], r.canonical_id) for r in vectors.knn_animals(g, q, 4, per_block=blocks).collect())
+        assert got == [(1, "many"), (2, "a0"), (3, "a1"), (4, "a2")]
+    assert vectors.knn_animals(g.where("false"), q, 4).count() == 0
+
+
 def test_knn_is_exact(spark):
     t = Tables(spark, SF)
     g = t.v_gallery.select("vec_id", "species", "embedding").collect()
