@@ -13,17 +13,30 @@ def new_id(*cols: str) -> Column:
     return F.upper(F.left(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256), F.lit(26)))
 
 
+def by_animal(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with an animal id, rows without one). These are nobody's: they go through no join or window, where they would all meet in one task."""
+    return records.where("source_animal_id is not null"), records.where("source_animal_id is null")
+
+
+def resolved(keyed: DataFrame, loose: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both parts of ``by_animal`` with resolved_id and is_new."""
+    known = links.select("source_name", "source_animal_id", F.col("canonical_id").alias("_known"))
+    new = new_id("source_name", "source_animal_id", "event_id")
+    d = keyed.join(known, ["source_name", "source_animal_id"], "left")
+    d = d.withColumn("resolved_id", F.coalesce("_known", new)).withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    return d, loose.withColumn("resolved_id", new).withColumn("is_new", F.lit(True))
+
+
 def resolve_ids(records: DataFrame, links: DataFrame) -> DataFrame:
     """Records with the canonical_id that their (source_name, source_animal_id) is linked to, else a new one. A null animal id is always new."""
-    known = links.select("source_name", "source_animal_id", F.col("canonical_id").alias("_known"))
-    d = records.join(known, ["source_name", "source_animal_id"], "left")
-    return d.withColumn("resolved_id", F.coalesce("_known", new_id("source_name", "source_animal_id", "event_id"))).withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    keyed, loose = resolved(*by_animal(records), links)
+    return keyed.unionByName(loose)
 
 
 def last_of_batch(records: DataFrame) -> DataFrame:
     """Of the rows of one animal in a batch the last."""
     w = Window.partitionBy("source_name", "source_animal_id").orderBy(F.col("event_id").desc())
-    keyed, loose = records.where("source_animal_id is not null"), records.where("source_animal_id is null")
+    keyed, loose = by_animal(records)
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").unionByName(loose)
 
 
@@ -38,11 +51,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def change_events(records: DataFrame, links: DataFrame) -> DataFrame:
     """Every record of a batch as an event: departed goes before new, new before updated."""
-    d = resolve_ids(records, links)
-    gone = (F.col("availability") == "departed") | F.col("outcome_date").isNotNull()
+    keyed, loose = resolved(*by_animal(records), links)
     first = F.row_number().over(Window.partitionBy("source_name", "source_animal_id").orderBy("event_id")) == 1
-    fresh = F.col("is_new") & (first | F.col("source_animal_id").isNull())
-    return d.withColumn("kind", F.when(gone, "departed").when(fresh, "new").otherwise("updated"))
+    d = keyed.withColumn("_first", first).unionByName(loose.withColumn("_first", F.lit(True)))
+    gone = (F.col("availability") == "departed") | F.col("outcome_date").isNotNull()
+    return d.withColumn("kind", F.when(gone, "departed").when(F.col("is_new") & F.col("_first"), "new").otherwise("updated")).drop("_first")
 
 
 def absent_links(links: DataFrame, seen: DataFrame, source: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..operators.rounds import new_folder
+from ..operators.versions import Store
 from .registry import query
 
 CUT = "2024-01-20 00:00:00"
@@ -52,6 +54,19 @@ def upsert(t):
     return store.upsert(old, new, "key")
 
 
+@query(f"""WITH d AS (SELECT source_name || '/' || source_animal_id AS key, source_name, species, availability, event_id, epoch_us(last_seen) AS created_at, CASE WHEN last_seen < TIMESTAMP '2024-01-10' THEN 1 WHEN last_seen < TIMESTAMP '{CUT}' THEN 2 ELSE 3 END AS part FROM v_intake WHERE source_animal_id IS NOT NULL),
+l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY key, part ORDER BY event_id DESC) = 1)
+SELECT key, source_name, species, availability, event_id, first_value(created_at) OVER (PARTITION BY key ORDER BY part) AS created_at, CAST(0 AS INT) AS absent_count FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY part DESC) = 1""")
+def store_versions(t):
+    """The bucketed store after three batches of days, each a version made from the one before it."""
+    rows = keyed(t.v_intake).withColumn("at", F.timestamp_micros("created_at"))
+    first, second = F.col("at") < F.lit("2024-01-10 00:00:00").cast("timestamp"), F.col("at") < cut()
+    held = Store(t.spark, new_folder(t.spark, "store"), rows.drop("at", "source_animal_id").schema)
+    for n, part in enumerate((first, ~first & second, ~second), 1):
+        held.apply(store.last_of_batch(rows.where(part)).drop("at", "source_animal_id"), n)
+    return held.read()
+
+
 @query(f"""SELECT source_animal_id FROM ({LINKS}) WHERE source_name = 'src1' AND source_animal_id NOT IN (SELECT source_animal_id FROM v_intake WHERE source_name = 'src1' AND source_animal_id IS NOT NULL AND last_seen >= TIMESTAMP '{CUT}')""")
 def absent_links(t):
     return store.absent_links(links(t), batch(t), "src1").select("source_animal_id")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.versions import Store
+
 STRAYS, HOT_TICKS = 3, 5
 
 
@@ -84,25 +86,30 @@ def match_sink(folder: str, photos: DataFrame, reports: DataFrame, k: int = 10,
     return sink
 
 
+def ingest_store(spark: SparkSession, folder: str) -> Store:
+    """The store that ``ingest_sink(folder)`` keeps."""
+    kind = "key string, species string, availability string, event_id bigint, created_at timestamp, absent_count int, source_name string, source_animal_id string, canonical_id string"
+    return Store(spark, f"{folder}/store", kind)
+
+
 def ingest_sink(folder: str):
-    """A foreachBatch sink that keeps the canonical store: each batch makes the next version of it and a part of the change feed.
+    """A foreachBatch sink that keeps the canonical store: batch N makes version N + 1 of ``ingest_store(folder)`` and ``folder/events/epoch=N``, what it changed.
 
-    ``folder/store/v=N`` is the store after N batches, ``folder/events/epoch=N`` what batch N changed. Both are written anew if a batch runs
-    again, from the version before it, so a retry changes nothing.
+    A batch reads and rewrites the buckets of its own animals alone. One that runs again starts from the version before it, so a retry changes nothing.
     """
-    from ..operators.store import change_events, last_of_batch, upsert
-
-    schema = "key string, species string, availability string, event_id bigint, created_at timestamp, absent_count int, source_name string, source_animal_id string, canonical_id string"
+    from ..operators.store import by_animal, change_events, last_of_batch
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{folder}/store/v={epoch}") if epoch else spark.createDataFrame([], schema)
-        events = change_events(batch, old.select("source_name", "source_animal_id", "canonical_id"))
+        held = ingest_store(batch.sparkSession, folder)
+        batch = batch.withColumn("key", F.concat_ws("/", "source_name", "source_animal_id")).persist()
+        buckets = held.touched(by_animal(batch)[0])
+        events = change_events(batch, held.read(epoch, buckets).select("source_name", "source_animal_id", "canonical_id"))
         changed = events.select("canonical_id", F.col("resolved_id"), "kind", "source_name", "source_animal_id", "event_id")
         changed.write.mode("overwrite").parquet(f"{folder}/events/epoch={epoch}")
         first = Window.partitionBy("source_name", "source_animal_id")
-        ids = events.where("source_animal_id is not null").withColumn("_id", F.min_by("resolved_id", "event_id").over(first))
-        last = last_of_batch(ids).select(F.concat_ws("/", "source_name", "source_animal_id").alias("key"), "species", "availability", "event_id", F.col("last_seen").cast("timestamp").alias("created_at"), F.lit(0).alias("absent_count"), "source_name", "source_animal_id", F.col("_id").alias("canonical_id"))
-        upsert(old, last, "key").select(*[f.name for f in old.schema]).write.mode("overwrite").parquet(f"{folder}/store/v={epoch + 1}")
+        ids = by_animal(events)[0].withColumn("_id", F.min_by("resolved_id", "event_id").over(first))
+        last = last_of_batch(ids).select("key", "species", "availability", "event_id", F.col("last_seen").cast("timestamp").alias("created_at"), F.lit(0).alias("absent_count"), "source_name", "source_animal_id", F.col("_id").alias("canonical_id"))
+        held.apply(last, epoch + 1, buckets)
+        batch.unpersist()
 
     return sink

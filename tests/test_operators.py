@@ -234,6 +234,40 @@ def test_upsert_is_idempotent(spark):
         assert {(r.key, r.v, r.created_at, r.absent_count) for r in d.collect()} == want
 
 
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    """A batch of one source leaves the other sources' buckets where they lie; a retry and a write that failed change nothing."""
+    from strayfield.operators.versions import Store
+
+    kind = "key string, v int, created_at int, absent_count int, source_name string"
+    rows = lambda source, n, v: spark.createDataFrame([(f"{source}/{i}", v, v, 1, source) for i in range(n)], kind)
+    held = Store(spark, str(tmp_path / "store"), kind, outer=8, inner=4)
+    every = rows("a", 200, 1).unionByName(rows("b", 100, 1)).unionByName(rows(None, 20, 1))
+    files = lambda: {str(p) for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    assert held.latest() == 0 and held.read().count() == 0
+    first = held.apply(every, 1)
+    before = files()
+    assert len(before) == len(first) == len(held.manifest(1))
+    again = held.apply(rows("a", 5, 2), 2)
+    assert set(again) <= set(held.touched(rows("a", 200, 1))) and 0 < len(again) <= 4 < len(first)
+    assert len(files() - before) == len(again) and before <= files()
+    one, two = held.manifest(1), held.manifest(2)
+    assert {b for b in one if one[b] != two[b]} == set(again)
+    got = {r.key: (r.v, r.created_at, r.absent_count) for r in held.read().collect()}
+    assert len(got) == 320 and got["a/4"] == (2, 1, 0) and got["a/5"] == (1, 1, 0) and got["b/4"] == (1, 1, 0)
+    assert held.read(1).where("v = 2").count() == 0
+    assert len(held.read(2, again).inputFiles()) == len(again)
+    now = files()
+    assert held.apply(rows("a", 5, 9), 2) == [] and files() == now and held.manifest(2) == two
+    (tmp_path / "store" / "manifests" / "v=3").mkdir()  # a manifest that was begun, never finished
+    assert held.latest() == 2
+    assert held.apply(rows("a", 0, 3), 3) == [] and held.manifest(3) == two
+    assert held.vacuum(keep=1) == len(again) and held.versions() == [3] and {r.key: (r.v, r.created_at, r.absent_count) for r in held.read().collect()} == got
+    with pytest.raises(ValueError, match="without key"):
+        held.apply(rows("a", 1, 1).withColumn("key", F.lit(None).cast("string")), 4)
+    with pytest.raises(ValueError, match="8 x 4"):
+        Store(spark, held.folder, kind, outer=8, inner=2).read()
+
+
 def test_best_animals_with_many_photos(spark):
     """One animal with fifty photos, all nearest, doesn't displace the others, in whatever blocks its photos lie."""
     from strayfield.operators import vectors
@@ -419,7 +453,9 @@ def test_ingest_gives_one_store_however_it_is_cut(spark, tmp_path, parts):
     folder = str(tmp_path / "ingest")
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
     stream.writeStream.foreachBatch(jobs.ingest_sink(folder)).option("checkpointLocation", folder + "-c").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(f"{folder}/store/v={parts}").select("source_name", "source_animal_id", "event_id", "canonical_id").collect()
+    held = jobs.ingest_store(spark, folder)
+    assert held.versions() == list(range(1, parts + 1))
+    got = held.read().select("source_name", "source_animal_id", "event_id", "canonical_id").collect()
     keyed = d.where("source_animal_id is not null")
     want = {(r.source_name, r.source_animal_id): r.e for r in keyed.groupBy("source_name", "source_animal_id").agg(F.max("event_id").alias("e")).collect()}
     assert {(r.source_name, r.source_animal_id): r.event_id for r in got} == want and len({r.canonical_id for r in got}) == len(got)
