@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -28,3 +29,18 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(d: DataFrame, group: str, order: str, name: str = "n") -> DataFrame:
+    """Each row's place, from 0, in its group by ``order``, which is unique in it. Null groups are one group.
+
+    A group of any size is shared among tasks: rows are dealt by ranges of (group, order) and written once, so that ranges can't move between the two
+    readings; a row's place is that in its range, and what its group has in the ranges before.
+    """
+    ranges = stored(d.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = ranges.groupBy("_range", group).agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_range").alias("_of"), F.col(group).alias("_group"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(order)) - 1
+    met = ranges.withColumn(name, own).join(starts, (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_of", "_group", "_start")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import store
-from ..operators.rounds import new_folder
+from ..operators.rounds import new_folder, numbered
 from ..operators.versions import Store
 from .registry import query
 
@@ -146,10 +146,7 @@ def backfill_plan(t):
 SELECT species, page, count(*) AS n FROM d GROUP BY ALL HAVING min(last_seen) >= TIMESTAMP '{CUT}'""")
 def backfill_progress(t):
     """Pages still to fetch: those that aren't in the table of processed pages."""
-    from pyspark.sql import Window
-
-    at = F.floor((F.row_number().over(Window.partitionBy("species").orderBy("event_id")) - 1) / 250).cast("bigint")
-    pages = t.v_intake.withColumn("page", at)
+    pages = numbered(t.v_intake.select("species", "event_id", "last_seen"), "species", "event_id").withColumn("page", F.floor(F.col("n") / 250).cast("bigint"))
     done = pages.where(F.col("last_seen") < cut()).select("species", "page").distinct()
     return pages.join(done, ["species", "page"], "left_anti").groupBy("species", "page").agg(F.count("*").alias("n"))
 

@@ -268,6 +268,16 @@ def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
         Store(spark, held.folder, kind, outer=8, inner=2).read()
 
 
+def test_rows_are_numbered_in_their_group(spark):
+    from strayfield.operators.rounds import numbered
+
+    d = spark.createDataFrame([("a" if i % 5 else ("b" if i % 2 else None), (i * 7919) % 1009) for i in range(1000)], "g string, o int").repartition(7)
+    got = numbered(d, "g", "o").collect()
+    for g in ("a", "b", None):
+        assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: r.o)] == list(range(sum(r.g == g for r in got)))
+    assert len(got) == 1000 and numbered(d.where("false"), "g", "o").count() == 0
+
+
 def test_best_animals_with_many_photos(spark):
     """One animal with fifty photos, all nearest, doesn't displace the others, in whatever blocks its photos lie."""
     from strayfield.operators import vectors
