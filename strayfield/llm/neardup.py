@@ -243,6 +243,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, sides: in
     doc_id (their component_id is null, and they are kept). Rows that repeat a doc_id are one document with several sets, and have one component_id. An
     empty table gives an empty result; other columns are ignored.
     """
+    if not 1 <= sides <= 11:
+        raise ValueError("sides must be from 1 to 11: a key has seven bits for the number of its table")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = persisted(sketched(docs, size, Tables(sides, rows)), "neardup-sketches")
     real = found.where("n > 0 and doc_id is not null")

@@ -529,3 +529,11 @@ def test_blocks_of_a_bucket_meet_like_all_its_pairs(spark):
     for block in (3, 16, 1024):
         assert {tuple(r) for r in worth_confirming(side, 1024, sides, 80, block).collect()} == expected
     assert worth_confirming(side.limit(0), 1024, sides, 80).count() == 0
+
+
+def test_more_tables_than_a_key_can_number_are_refused(spark):
+    from strayfield.llm.neardup import near_duplicates
+
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="sides"):
+        near_duplicates(docs, sides=12)
