@@ -308,6 +308,22 @@ def test_knn_is_exact(spark):
             assert [v for _, v in sorted(got[r.vec_id])] == [v for _, v in best]
 
 
+@pytest.fixture
+def spread_out(spark):
+    """Shuffles whose partitions aren't joined into few, as those of large tables aren't."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_blocks_of_gallery_and_queries_all_meet(spark, spread_out):
+    g = Tables(spark, SF).v_gallery.select("vec_id", "canonical_id", "species", "embedding")
+    q = g.where("vec_id % 10 < 5").select(F.col("vec_id").alias("query_id"), "species", "embedding")
+    for search in (vectors.knn, vectors.knn_animals):
+        small, whole = (sorted(map(tuple, search(g, q, 4, per_block=size).select("query_id", "rank", F.round("similarity", 8)).collect())) for size in ((60, 40), (10_000, 10_000)))
+        assert small == whole and len(small) == 4 * q.count()
+
+
 def test_recall_of_the_approximate_search(spark):
     """At least nine in ten of the true neighbours, from full vectors of under a fifth of the gallery."""
     t = Tables(spark, f"{DATA}/sf0.01")
