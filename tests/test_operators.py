@@ -110,6 +110,14 @@ def test_within_finds_all_pairs(spark):
         assert sorted(got) == sorted((r.a, r.b) for r in a.crossJoin(b).where(d <= km).collect()) and (301, 302) in got
 
 
+def test_within_broadcasts_no_copies_of_cells(spark):
+    t = Tables(spark, SF)
+    a = t.v_intake.select("canonical_id", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    b = t.v_lost_report.select("report_id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    got = near.within(a, b, 40)
+    assert got.count() and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prefilter_is_monotone(spark):
     t = Tables(spark, SF)
     ids = lambda km, days: {r[0] for r in match.prefilter(t.v_intake, "dog", 30.0, -97.0, F.lit("2024-01-15").cast("timestamp"), km, days).collect()}
