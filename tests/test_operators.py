@@ -66,6 +66,17 @@ def test_blocked_join_finds_what_the_broadcast_does(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_intakes_of_one_file_are_dealt_among_all_cores(spark):
+    t = Tables(spark, SF)
+    busy = match.candidates(t.v_intake, t.v_lost_report).where("lat is null or report_lat is null").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy >= spark.sparkContext.defaultParallelism
+
+
+def test_rounding_in_doubles(spark):
+    for x, want in ((0.0, 0.0), (0.1234565, 0.123457), (0.4999999, 0.5), (0.25, 0.25), (1.0, 1.0), (None, None)):
+        assert column(spark, x, "double", lambda c: sc.rounded(c, 6)) == want
+
+
 def test_blocked_join_over_the_date_line_and_near_the_pole(spark, monkeypatch):
     at = datetime(2024, 1, 10)
     kind = "canonical_id string, species string, availability string, lat double, lon double, intake_date timestamp"
