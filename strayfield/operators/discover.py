@@ -81,23 +81,26 @@ def _other_than(column: str):
     return lambda c: ~F.coalesce(c == F.col(column), F.lit(False))
 
 
-def infer_column_map(datasets: DataFrame) -> DataFrame:
-    """(dataset_id, slot, column): slot by slot the best column that none has claimed yet, by exact name before contained name, in keyword then column order.
+def column_claims(datasets: DataFrame) -> DataFrame:
+    """``datasets`` with a column ``_<slot>`` for each slot: the best column that none before it has claimed, by exact name before contained name, in keyword then column order.
 
     A dataset's columns are one array, so the claims are eleven steps of array functions in a row; nothing is shuffled.
     """
-    d = datasets.select("dataset_id", F.filter("columns", lambda c: ~F.startswith(c, F.lit(":"))).alias("_free"))
+    d = datasets.withColumn("_free", F.filter("columns", lambda c: ~F.startswith(c, F.lit(":"))))
     for slot, words in SLOTS.items():
         tries = [F.filter("_free", _named(w)) for w in words] + [F.filter("_free", _containing(w)) for w in words]
         d = d.withColumn(f"_{slot}", F.coalesce(*[F.get(x, 0) for x in tries]))
         d = d.withColumn("_free", F.filter("_free", _other_than(f"_{slot}")))
+    return d.drop("_free")
+
+
+def infer_column_map(datasets: DataFrame) -> DataFrame:
+    """(dataset_id, slot, column): the claims of each dataset as rows."""
     found = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"_{s}").alias("column")) for s in SLOTS])
-    return d.select("dataset_id", F.explode(found).alias("m")).where("m.column is not null").select("dataset_id", "m.slot", "m.column")
+    return column_claims(datasets.select("dataset_id", "columns")).select("dataset_id", F.explode(found).alias("m")).where("m.column is not null").select("dataset_id", "m.slot", "m.column")
 
 
 def probe_verdict(datasets: DataFrame, stray: Column) -> DataFrame:
-    """(dataset_id, verdict, reason): green if id, animal and intake columns are there and the sample row shows a stray."""
-    has = infer_column_map(datasets).groupBy("dataset_id").agg(*[F.max(F.when(F.col("slot") == s, F.col("column"))).alias(s) for s in ("animal_id", "animal_type", "intake_type")])
-    d = datasets.join(has, "dataset_id", "left")
-    reason = F.when(F.col("animal_id").isNull(), "no animal_id").when(F.col("animal_type").isNull(), "no animal_type").when(F.col("intake_type").isNull(), "no intake_type").when(~stray, "no stray value in sample").otherwise("required columns with confirmed stray values")
-    return d.select("dataset_id", F.when(F.startswith(reason, F.lit("required")), "GREEN").otherwise("RED").alias("verdict"), reason.alias("reason"))
+    """(dataset_id, verdict, reason): green if id, animal and intake columns are there and the sample row shows a stray. Row by row, without a shuffle."""
+    reason = F.when(F.col("_animal_id").isNull(), "no animal_id").when(F.col("_animal_type").isNull(), "no animal_type").when(F.col("_intake_type").isNull(), "no intake_type").when(~stray, "no stray value in sample").otherwise("required columns with confirmed stray values")
+    return column_claims(datasets).select("dataset_id", F.when(F.startswith(reason, F.lit("required")), "GREEN").otherwise("RED").alias("verdict"), reason.alias("reason"))

@@ -505,3 +505,10 @@ def test_ingest_gives_one_store_however_it_is_cut(spark, tmp_path, parts):
     want = {(r.source_name, r.source_animal_id): r.e for r in keyed.groupBy("source_name", "source_animal_id").agg(F.max("event_id").alias("e")).collect()}
     assert {(r.source_name, r.source_animal_id): r.event_id for r in got} == want and len({r.canonical_id for r in got}) == len(got)
     assert spark.read.parquet(f"{folder}/events").count() == d.count()
+
+
+def test_probe_verdicts_need_no_shuffle(spark):
+    from strayfield.plans import QUERIES
+
+    plan = QUERIES["probe_verdict"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
