@@ -111,6 +111,18 @@ def test_best_is_the_head_of_all_candidates(spark, monkeypatch, bound):
     assert match.best(t.v_intake.where("false"), reports, now).count() == 0 == match.best(t.v_intake, reports.where("false"), now).count()
 
 
+def test_placed_candidates_are_few_before_they_are_ranked(spark):
+    """Of pairs in one place no more than a batch's best of each report go on to the ranking, and these are the right ones."""
+    d = spark.range(1, 5001).select(
+        F.concat(F.lit("r"), F.floor(F.col("id") / 2500).cast("string")).alias("report_id"), F.lpad(F.col("id").cast("string"), 6, "0").alias("canonical_id"), F.lit(None).cast("timestamp").alias("hold_until"), F.lit(None).cast("double").alias("visual_score"),
+        *[(F.col("id") % 100 / 100).alias(c) for c in ("attribute_score", "geo_score", "recency_score", "score")],
+    ).coalesce(1)
+    d = d.withColumn("hold_until", F.when(F.col("canonical_id") == "000001", F.lit(datetime(2025, 1, 1))))
+    now, few = F.lit(datetime(2024, 1, 1)), match.few_of_batches(d, F.lit(datetime(2024, 1, 1)), 7)
+    shown = lambda x: sorted((r.report_id, r["rank"], r.canonical_id, str(r.hold_until)) for r in x.collect())
+    assert few.count() <= 7 * 3 and shown(match.ranked(few, now, 7)) == shown(match.ranked(d, now, 7))
+
+
 def test_within_finds_all_pairs(spark):
     rng = np.random.default_rng(8)
     at = [(int(k), float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True))] + [(300, 89.99, 0.0), (301, -10.0, 179.99), (302, -10.0, -179.99), (303, None, 1.0)]
