@@ -28,10 +28,10 @@ def knn_topk(t):
     return hits(t, 10).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
-@query(f"""WITH b AS (SELECT query_id, canonical_id, max(similarity) AS s FROM ({RANKED}) WHERE rank <= 60 GROUP BY ALL),
+@query(f"""WITH b AS (SELECT query_id, canonical_id, max(similarity) AS s FROM ({HITS}) WHERE canonical_id IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, canonical_id) AS rank FROM b) SELECT query_id, canonical_id, CAST(rank AS INT) AS rank, round(s, 5) AS similarity FROM r WHERE rank <= 10""")
 def knn_per_animal(t):
-    """The ten best animals, whatever number of photos each has. In the SQL sixty photos hold them, as no animal of the table has more than three."""
+    """The ten best animals by their best photo, whatever number of photos each has and however many tie."""
     return vectors.knn_animals(t.v_gallery, queries_of(t), 10).select("query_id", "canonical_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 

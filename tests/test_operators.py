@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strayfield.functions import geo, parse
 from strayfield.functions import score as sc
 from strayfield.operators import coverage, evaluation, match, near, reports, search, store, vectors
+from strayfield.plans import ORACLES, QUERIES
 from strayfield.plans.registry import Tables
 from strayfield.sources import feeds
 from strayfield.streaming import jobs
@@ -355,6 +356,19 @@ def test_blocks_of_gallery_and_queries_all_meet(spark, spread_out):
         assert small == whole and len(small) == 4 * q.count()
 
 
+def test_animals_whose_photos_tie_agree_with_the_sql(spark, tmp_path):
+    """Four hundred copies of each vector: more photos tie than any fixed number would hold."""
+    import duckdb
+
+    e = Tables(spark, SF).embeddings.where("vec_id < 30").crossJoin(spark.range(400)).selectExpr("vec_id + 30 * id as vec_id", "embedding", "label")
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["knn_per_animal"](spark, str(tmp_path)).select("query_id", "canonical_id", "rank", "similarity").collect()
+    want = con.sql(f"SELECT query_id, canonical_id, rank, similarity FROM ({ORACLES['knn_per_animal']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 12_000
+
+
 def test_recall_of_the_approximate_search(spark):
     """At least nine in ten of the true neighbours, from full vectors of under a fifth of the gallery."""
     t = Tables(spark, f"{DATA}/sf0.01")
