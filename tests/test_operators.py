@@ -4,7 +4,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
-from conftest import DATA
+from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 from strayfield.functions import geo, parse
@@ -369,6 +369,14 @@ def test_animals_whose_photos_tie_agree_with_the_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 12_000
 
 
+@pytest.mark.parametrize("name", ["knn_topk", "knn_per_animal", "self_match", "eval_rank_metrics", "eval_slices", "match_photo", "new_alerts"])
+def test_searches_in_many_blocks_agree_with_their_sql(spark, oracle, spread_out, monkeypatch, name):
+    whole = vectors.in_blocks
+    monkeypatch.setattr(vectors, "in_blocks", lambda g, q, key, _, score, schema: whole(g, q, key, (60, 40), score, schema))
+    got, want = QUERIES[name](spark, SF), oracle(ORACLES[name], "sf0.001")
+    assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
+
+
 def test_recall_of_the_approximate_search(spark):
     """At least nine in ten of the true neighbours, from full vectors of under a fifth of the gallery."""
     t = Tables(spark, f"{DATA}/sf0.01")
