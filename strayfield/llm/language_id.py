@@ -22,9 +22,12 @@ WIDTH = 4096
 #: Bits of a trigram's number in the tables of familiar trigrams, and the trigrams of good will that each text has
 #: besides its own, so that a few words aren't judged by one name in them.
 BITS, GOODWILL = 20, 10
+#: Fixed value: a trigram is familiar if at least one in so many labelled texts of its language has it, so that an odd text among
+#: many doesn't make its own trigrams familiar.
+ONE_IN = 1000
 #: Of the familiar share that one in a hundred held-out rows of a language doesn't reach, the part that a text must have; the least share
-#: where a language has no held-out rows.
-SLACK, LEAST_KNOWN = 0.75, 0.6
+#: where a language has no held-out rows; and the steps in which shares are counted.
+SLACK, LEAST_KNOWN, STEPS = 0.75, 0.6, 10_000
 #: Families of ISO 639-1 codes. A language that isn't named here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -167,24 +170,41 @@ class Familiar:
         return (int(table[at].sum()) + GOODWILL) / (len(at) + GOODWILL)
 
 
-def familiar(docs: DataFrame, model: Hierarchy | None, per_lang: int = 400) -> Familiar | None:
-    """The trigrams of the rows that ``model`` was learned from, and the least shares from as many labelled rows that are held out."""
+def familiar(docs: DataFrame, model: Hierarchy | None) -> Familiar | None:
+    """The familiar trigrams of each language and the least shares, from all labelled rows: the trigrams from those that aren't held out, the shares
+    from those that are.
+
+    Tasks count the texts that have a trigram, and the held-out rows of each step of the share; Spark sums both. The driver sees the
+    familiar trigrams and at most ``STEPS`` + 1 counts of each language, however many rows there are.
+    """
     if model is None:
         return None
-    rows = labelled(docs)
+    rows = labelled(docs).where("lang is not null and text is not null")
+    learnt = rows.where(~held_out())
+
+    def counted(batches):
+        found: dict[str, np.ndarray] = {}
+
+        def emit():
+            for lang, n in found.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
+            found.clear()
 
-    def seen(batches):
-        found = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at = np.unique(trigrams(text) >> np.uint32(32 - BITS))
-                found[lang] = np.union1d(found[lang], at) if lang in found else at
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.astype(np.uint32).tobytes() for v in found.values()], pa.binary())], names=["lang", "at"])
-
-    parts = {}
-    for r in sample(rows.where(~held_out()), per_lang)[0].mapInArrow(seen, "lang string, at binary").collect():
-        parts.setdefault(r.lang, []).append(np.frombuffer(r.at, np.uint32))
-    known = Familiar({k: np.unique(np.concatenate(v)) for k, v in parts.items()})
+                if lang not in found:
+                    if len(found) == 16:  # tables of four megabytes each
+                        yield from emit()
+                    found[lang] = np.zeros(1 << BITS, np.uint32)
+                found[lang][np.unique(trigrams(text) >> np.uint32(32 - BITS))] += 1
+        yield from emit()
+
+    texts = learnt.groupBy("lang").agg(F.count("*").alias("texts"))
+    seen = learnt.select("lang", "text").mapInArrow(counted, "lang string, at bigint, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    often = seen.join(F.broadcast(texts), "lang").where(F.col("n") * ONE_IN >= F.col("texts")).select("lang", "at").toArrow()
+    langs, at = np.array(often["lang"].to_pylist(), object), often["at"].to_numpy()
+    known = Familiar({k: at[langs == k] for k in sorted({r.lang for r in texts.collect()})})
 
     def shares(batches):
         tables = known.tables()
@@ -193,16 +213,26 @@ def familiar(docs: DataFrame, model: Hierarchy | None, per_lang: int = 400) -> F
                 part = batch.slice(k, 64)
                 texts = part.column("text").to_pylist()
                 guess = model.predict(np.stack([features(t) for t in texts]))
-                got = [(g, known.share(t, tables[g])) for (g, _), t, lang in zip(guess, texts, part.column("lang").to_pylist(), strict=True) if g == lang and LETTER.search(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["lang", "share"])
+                got = [(g, int(STEPS * known.share(t, tables[g]))) for (g, _), t, lang in zip(guess, texts, part.column("lang").to_pylist(), strict=True) if g == lang and LETTER.search(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.string()), pa.array([x for _, x in got], pa.int32())], names=["lang", "step"])
 
-    clean: dict[str, list[float]] = {}
-    for r in sample(rows.where(held_out()), per_lang)[0].mapInArrow(shares, "lang string, share double").collect():
-        clean.setdefault(r.lang, []).append(r.share)
-    known.least = {k: SLACK * float(np.quantile(clean[k], 0.01)) if k in clean else LEAST_KNOWN for k in parts}
+    clean: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.where(held_out()).select("lang", "text").mapInArrow(shares, "lang string, step int").groupBy("lang", "step").agg(F.count("*").alias("n")).collect():
+        clean.setdefault(r.lang, []).append((r.step, r.n))
+    known.least = {k: SLACK * hundredth(clean[k]) / STEPS if k in clean else LEAST_KNOWN for k in known.packed}
     return known
 
 
+def hundredth(counts: list[tuple[int, int]]) -> int:
+    """The greatest step that at most one in a hundred of the counted (step, n) lie below."""
+    below, total = 0, sum(n for _, n in counts)
+    for step, n in sorted(counts):
+        below += n
+        if 100 * below > total:
+            return step
+    raise ValueError("nothing counted")
+
+
 def with_language(docs: DataFrame, model: Hierarchy | None, carry_text: bool = True, known: Familiar | None = None) -> DataFrame:
     """``docs`` with lang_pred and score, from the whole column ``text`` alone.
 

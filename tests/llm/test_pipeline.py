@@ -39,3 +39,32 @@ def test_language_stage_rejects_what_it_never_learned(spark, docs):
 def test_language_stage_of_empty_tables(spark, docs):
     assert corpus_pipeline.language(spark, docs.where("false"), SF).count() == 0
     assert corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).count() == 0
+
+
+def test_familiar_trigrams_and_shares_come_from_all_labelled_rows(spark):
+    """A replay over all rows: words of one text in five hundred are familiar, a word of one text alone isn't."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    from strayfield.llm import language_id as li
+
+    code = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+    base = {"en": "the cat and the dog went out", "de": "der hund und die katze gingen"}
+    made = [(i, f"{base[lang]} {code(7919 * (i % 500))} {code(104_729 * i)}", lang) for i in range(12_000) for lang in [("en", "de")[i % 2]]]
+    docs = spark.createDataFrame([*made, (-1, None, "en"), (-2, "no language", None)], "doc_id bigint, text string, lang string")
+    model = li.learned(docs)
+    known = li.familiar(docs, model)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    texts, n = defaultdict(Counter), Counter()
+    for i, text, lang in made:
+        if not held(i):
+            texts[lang].update({int(x) >> (32 - li.BITS) for x in li.trigrams(text)})
+            n[lang] += 1
+    for lang, table in known.tables().items():
+        want = {at for at, c in texts[lang].items() if c * li.ONE_IN >= n[lang]}
+        assert set(np.flatnonzero(table)) == want and len(want) < len(texts[lang])
+        own = [(text, got) for (i, text, v) in made if held(i) and v == lang for ((got, _),) in [model.predict(li.features(text)[None])] if got == lang]
+        shares = np.array([known.share(text, table) for text, _ in own])
+        assert known.least[lang] == li.SLACK * max(s for s in range(li.STEPS + 1) if 100 * (np.floor(li.STEPS * shares) < s).sum() <= len(shares)) / li.STEPS
+    assert sorted(known.least) == ["de", "en"]
