@@ -1,6 +1,6 @@
 """Operators on small literal tables: edge cases, properties, and streams against their batch forms."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -200,6 +200,45 @@ def test_federated_merge_on_the_largest_tables(spark, oracle):
     assert len(got) == len(want) and {f: s for s, f in got} == want
 
 
+RECORD = "pos bigint, species string, intake_date timestamp, first_seen timestamp, lat double, lon double, photo string, source_name string"
+
+
+def records(rng, n):
+    """Records of few days, places on both sides of the date line and near a pole, and photos; some without, some of one pos, and one copied."""
+    photo = ["", "u.jpg", "v.jpg", "zzzz/other.png"]
+    place = [(30.0, -97.0), (30.05, -97.05), (30.5, -97.0), (10.0, 179.99), (10.0, -179.99), (89.99, 20.0), (89.99, -150.0), (None, None), (30.0, None)]
+    out = []
+    for k in range(n):
+        lat, lon = place[rng.integers(len(place))]
+        day = datetime(2024, 1, 1) + timedelta(days=int(rng.integers(0, 30)), seconds=int(rng.integers(0, 86400)))
+        out.append((k - k % 17 // 16, [None, "dog", "cat", "dog"][rng.integers(4)], None if k % 13 == 0 else day, None if k % 26 == 0 else day, lat, lon, photo[rng.integers(4)], "a"))
+    return [*out, out[5]]
+
+
+@pytest.mark.parametrize("block", [1000, 30, 7])
+def test_first_free_is_first_come(spark, block):
+    """Whatever blocks meet, each found report in order takes the first record of its list that is free."""
+    rng = np.random.default_rng(block)
+    s, f = (spark.createDataFrame(records(rng, n), RECORD) for n in (90, 110))
+    want = first_come([(r.s_pos, r.f_pos) for r in match.federated_pairs(s, f).collect()])
+    got = match.first_free(s, f, block=block).collect()
+    assert len(got) == len(want) > 40 and {r.f_pos: r.s_pos for r in got} == want
+    assert match.first_free(s.limit(0), f, block=block).count() == match.first_free(s, f.limit(0), block=block).count() == 0
+
+
+def test_reconciling_lists_no_pairs(spark, monkeypatch):
+    """Of 20,000 and 20,000 that are all alike the list would have 400 million pairs."""
+
+    def listed(*args):
+        raise AssertionError("all pairs were listed")
+
+    monkeypatch.setattr(match, "federated_pairs", listed)
+    day = F.lit("2024-01-10").cast("timestamp")
+    d = spark.range(20_000).select(F.col("id").alias("pos"), F.lit("dog").alias("species"), day.alias("intake_date"), day.alias("first_seen"), *(F.lit(None).cast("double").alias(c) for c in ("lat", "lon")), F.lit("").alias("photo"), F.lit("a").alias("source_name"))
+    got = match.reconciled(d, d).select("pos", "federated_pos", F.size("provenances").alias("n"))
+    assert got.where("pos = federated_pos and n = 2").count() == got.count() == 20_000
+
+
 REJECTS = [("same", "dog", 0, 0.0, "u.jpg", True), ("far", "dog", 0, 1.0, "u.jpg", False), ("old", "dog", 9, 0.0, "u.jpg", False), ("photo", "dog", 0, 0.0, "zzzz/other.png", False), ("species", "cat", 0, 0.0, "u.jpg", False), ("unknown", "dog", None, None, "", True)]
 
 
