@@ -226,6 +226,51 @@ def test_first_free_is_first_come(spark, block):
     assert match.first_free(s.limit(0), f, block=block).count() == match.first_free(s, f.limit(0), block=block).count() == 0
 
 
+def test_federated_pairs_are_all_pairs(spark):
+    """Each pair of rows that pass is listed once, over the date line, at a pole, and with whole days up to the last."""
+    rng = np.random.default_rng(3)
+    fnv = {"": None} | {r.p: int(r.h) for r in spark.createDataFrame([(p,) for p in ("u.jpg", "v.jpg", "zzzz/other.png")], "p string").select("p", sc.fnv1a(F.col("p")).alias("h")).collect()}
+
+    def passes(a, b):
+        when = a[2] or a[3], b[2] or b[3]
+        if a[1] is None or a[1] != b[1] or None in when or abs(when[0] - when[1]) >= timedelta(days=8):
+            return False
+        places = a[4], a[5], b[4], b[5]
+        if None not in places and not geo.haversine_km_of(*places) <= 10:
+            return False
+        h = fnv[a[6]], fnv[b[6]]
+        return None in h or (h[0] ^ h[1]).bit_count() / 64 <= 0.15
+
+    s, f = records(rng, 120), records(rng, 150)
+    want = sorted((a[0], b[0]) for a in s for b in f if passes(a, b))
+    assert len(want) > 500 and sum(None not in (a[5], b[5]) for a in s for b in f if passes(a, b)) > 100
+    assert sorted((r.s_pos, r.f_pos) for r in match.federated_pairs(spark.createDataFrame(s, RECORD), spark.createDataFrame(f, RECORD)).collect()) == want
+
+
+def test_near_places_share_one_wide_cell(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.uniform([-89.9, -180], [89.9, 180], (150, 2)).tolist() + [[10.0, 179.99], [10.0, -179.99], [0.0, 180.0], [0.0, -180.0], [89.99, 20.0], [-89.99, 0.0], [0.0, 0.0]]
+    a = [(k, x, y) for k, (x, y) in enumerate(middle)]
+    b = [(k, min(90.0, max(-90.0, x + d)), (y + e / max(0.01, float(np.cos(np.radians(x)))) + 180) % 360 - 180) for k, x, y in a for d, e in rng.uniform(-0.12, 0.12, (8, 2)).tolist()]
+    near_a, near_b = (spark.createDataFrame(v, "k int, lat double, lon double") for v in (a, b))
+    own, reached = near.wide_cells(near_a, "lat", "lon", 10), near.wide_cells(near_b, "lat", "lon", 10, reached=True)
+    met = reached.selectExpr("lat as lat_b", "lon as lon_b", "_lat", "_lon").join(own, ["_lat", "_lon"]).where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= 10)
+    want = sorted((x, y, u, v) for _, x, y in a for _, u, v in b if geo.haversine_km_of(x, y, u, v) <= 10)
+    assert len(want) > 500 and sorted((r.lat, r.lon, r.lat_b, r.lon_b) for r in met.collect()) == want
+
+
+def test_federated_pairs_copy_little(spark):
+    """Found reports with a place are copied to two or three keys each, not to dozens, and no copies are broadcast."""
+    rng = np.random.default_rng(5)
+    rows = [(k, "dog", datetime(2024, 1, 1) + timedelta(hours=int(h)), None, 25 + x, -124 + y, "", "a") for k, (h, x, y) in enumerate(zip(rng.integers(0, 720, 500), rng.uniform(0, 24, 500).tolist(), rng.uniform(0, 57, 500).tolist(), strict=True))]
+    d = spark.createDataFrame(rows, RECORD)
+    pairs = match.federated_pairs(d, d)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert near.wide_cells(d, "lat", "lon", 10, reached=True).count() < 4 * 500
+
+
 def test_reconciling_lists_no_pairs(spark, monkeypatch):
     """Of 20,000 and 20,000 that are all alike the list would have 400 million pairs."""
 
