@@ -73,6 +73,41 @@ def test_intakes_of_one_file_are_dealt_among_all_cores(spark):
     assert busy >= spark.sparkContext.defaultParallelism
 
 
+def alike(spark, intakes, reports):
+    """Intakes without a place, and reports of three looks and two dates, all within the window."""
+    day = F.lit(datetime(2024, 1, 10))
+    i = spark.range(intakes).select(
+        F.col("id").cast("string").alias("canonical_id"), F.lit("dog").alias("species"), F.lit("in_custody").alias("availability"), F.lit("stray").alias("intake_type"), *(F.lit(None).cast("double").alias(c) for c in ("lat", "lon")),
+        day.alias("intake_date"), F.lit("small").alias("size"), F.array(F.lit("Black")).alias("colors"),
+    )
+    r = spark.range(reports).select(
+        F.concat(F.lit("r"), F.col("id")).alias("report_id"), F.lit("dog").alias("species"), F.lit(30.0).alias("lat"), F.lit(-97.0).alias("lon"), F.when(F.col("id") % 3 < 2, F.lit("small")).alias("size"),
+        F.when(F.col("id") % 3 > 0, F.array(F.lit("black"))).alias("colors"), F.when(F.col("id") % 2 == 0, day).alias("created"),
+    )
+    return i, r
+
+
+def test_reports_alike_are_compared_with_an_intake_once(spark):
+    i, r = alike(spark, 20, 5000)
+    lists = match.unplaced(match.intake_side(i), match.report_side(r), 30)
+    assert lists.agg(F.max(F.size("_list"))).first()[0] <= match.LIST and lists.count() <= 20 * 6 * 2
+    pairs = match.candidates(i, r, scores=True)
+    assert {tuple(x) for x in pairs.groupBy("attribute_score", "recency_score").count().collect()} == {(1.0, 1.0, 50_000), (1.0, 0.5, 50_000)}
+    plain = match.scored(match.candidates(i, r)).select("report_id", "canonical_id", *match.PART_SCORES)
+    assert plain.exceptAll(pairs.select(plain.columns)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_lists_of_reports_are_copied_to_no_keys(spark, monkeypatch, bound):
+    """Beyond the broadcast bound too, no more rows are shuffled than both sides have."""
+    monkeypatch.setattr(match, "BROADCAST_REPORTS", bound)
+    i, r = alike(spark, 200, 2000)
+    pairs = match.candidates(i, r)
+    assert pairs.count() == 400_000
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert ("CartesianProduct" in plan) == (bound == 0) and "_salt" not in plan
+
+
 def test_rounding_in_doubles(spark):
     for x, want in ((0.0, 0.0), (0.1234565, 0.123457), (0.4999999, 0.5), (0.25, 0.25), (1.0, 1.0), (None, None)):
         assert column(spark, x, "double", lambda c: sc.rounded(c, 6)) == want
