@@ -7,6 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import stored
+
+#: Rows of a block of gallery and of queries.
+PER_BLOCK = (65_536, 4096)
+#: Similarities that are held at once.
+HELD = 1 << 22
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,18 +26,35 @@ def l2_normalise(v: Column) -> Column:
 
 
 def in_blocks(gallery: DataFrame, queries: DataFrame, key: str, per_block: tuple[int, int], score, schema: str) -> DataFrame:
-    """``score`` (an Arrow function of a gallery block and a query block) on every pair of blocks. Each side is read once, cut by a hash of its ids
-    into blocks of about ``per_block`` rows, and sent to the other side's blocks; nothing passes through the driver."""
-    g, q = gallery.where("embedding is not null"), queries.where("embedding is not null")
+    """``score`` (an Arrow function of a gallery block and a query block) on every pair of blocks. Each side is read once and shuffled once, by its ids, into blocks
+    of about ``per_block`` rows; a task reads one block of each side from there. No side is copied for the other's blocks, and nothing passes through the driver."""
+    g, q = (stored(d.where("embedding is not null"), "vectors") for d in (gallery, queries))
     n, m = (max(1, -(-d.count() // size)) for d, size in zip((g, q), per_block, strict=True))
-    # block numbers are ints on both sides: equal numbers of other types would be hashed to other partitions
-    cut = lambda d, c, own, k, other, j: d.withColumns({own: F.pmod(F.xxhash64(c), F.lit(k)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(j - 1)))})
-    asked = cut(q, "query_id", "_q", m, "_g", n)
-    # both sides may stem from one table: names of its own keep the queries' columns apart from the gallery's
-    asked = asked.select(*[F.col(c).alias(f"asked_{c}") for c in asked.columns])
-    plain = lambda t: t.rename_columns([c.removeprefix("asked_") for c in t.column_names])
-    groups = cut(g, key, "_g", n, "_q", m).groupBy("_g", "_q").cogroup(asked.groupBy("asked__g", "asked__q"))
-    return groups.applyInArrow(lambda a, b: score(a, plain(b)), schema)
+    packed = lambda d, c, parts, name: d.repartition(parts, c).mapInArrow(_packed(name), f"{name} binary")
+    met = packed(g, key, n, "gallery").join(packed(q, "query_id", m, "queries").hint("shuffle_replicate_nl"))
+
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                found = score(*(pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, b)))
+                yield from found.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return met.mapInArrow(run, schema)
+
+
+def _packed(name: str):
+    """A partition's rows as one, an Arrow stream; an empty partition has none."""
+
+    def pack(batches):
+        t = [b for b in batches if b.num_rows]
+        if t:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, t[0].schema) as writer:
+                for b in t:
+                    writer.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    return pack
 
 
 def kinds(gallery: DataFrame, queries: DataFrame, key: str) -> str:
@@ -51,7 +75,7 @@ def by_species(g: pa.Table, q: pa.Table):
         yield np.flatnonzero(a == s), np.flatnonzero(b == s)
 
 
-def knn(gallery: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", per_block: tuple[int, int] = (8192, 4096)) -> DataFrame:
+def knn(gallery: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", per_block: tuple[int, int] = PER_BLOCK) -> DataFrame:
     """(query_id, key, similarity, rank): the k most alike of each query's species; similarity is max(0, cosine).
 
     Exact. Blocks of queries (query_id, species, embedding) meet blocks of the gallery; one matrix product gives a block's candidates, of which
@@ -62,8 +86,9 @@ def knn(gallery: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", per
         a, b = matrix(g["embedding"]), matrix(q["embedding"])
         rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for own, asked in by_species(g, q):
-            for low in range(0, len(asked), 256):
-                part = asked[low : low + 256]
+            step = max(1, HELD // len(own))
+            for low in range(0, len(asked), step):
+                part = asked[low : low + step]
                 sim = np.maximum(0.0, b[part] @ a[own].T)
                 least = np.partition(sim, -k, axis=1)[:, -k, None] - 1e-9 if len(own) > k else -1.0
                 x, y = np.nonzero(sim >= least)
@@ -84,7 +109,7 @@ def per_animal(hits: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_animals(gallery: DataFrame, queries: DataFrame, k: int, animal: str = "canonical_id", key: str = "vec_id", per_block: tuple[int, int] = (8192, 4096)) -> DataFrame:
+def knn_animals(gallery: DataFrame, queries: DataFrame, k: int, animal: str = "canonical_id", key: str = "vec_id", per_block: tuple[int, int] = PER_BLOCK) -> DataFrame:
     """(query_id, animal, similarity, rank): the k animals whose best photo is most alike to each query, of its species, whatever number of photos each has.
 
     Exact: a block gives its k best animals by their best photo in it, and the block with an animal's best photo of all has it among them
@@ -98,8 +123,9 @@ def knn_animals(gallery: DataFrame, queries: DataFrame, k: int, animal: str = "c
         for own, asked in by_species(g, q):
             own = own[np.argsort(animals[own], kind="stable")]
             starts = np.flatnonzero(np.diff(animals[own], prepend=-1))
-            for low in range(0, len(asked), 256):
-                part = asked[low : low + 256]
+            step = max(1, HELD // len(own))
+            for low in range(0, len(asked), step):
+                part = asked[low : low + step]
                 sim = np.maximum.reduceat(np.maximum(0.0, b[part] @ a[own].T), starts, axis=1)
                 least = np.partition(sim, -k, axis=1)[:, -k, None] - 1e-9 if len(starts) > k else -1.0
                 x, y = np.nonzero(sim >= least)
@@ -133,7 +159,7 @@ def signatures(d: DataFrame, bits: int, seed: int) -> DataFrame:
     return d.where("embedding is not null").select(*rest, "embedding").mapInArrow(sign, ", ".join([*fields, "code binary"]))
 
 
-def approximate_knn(gallery: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", bits: int = 1024, rescored: int = 5, seed: int = 3, per_block: tuple[int, int] = (65_536, 4096)) -> DataFrame:
+def approximate_knn(gallery: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", bits: int = 1024, rescored: int = 5, seed: int = 3, per_block: tuple[int, int] = PER_BLOCK) -> DataFrame:
     """Neighbours by hyperplane signatures: as ``knn``, but approximate.
 
     Every gallery vector has a signature of ``bits`` bits. A query's ``rescored`` * k nearest signatures, by differing bits, are all whose vectors are

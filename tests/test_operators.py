@@ -475,6 +475,16 @@ def test_blocks_of_gallery_and_queries_all_meet(spark, spread_out):
         assert small == whole and len(small) == 4 * q.count()
 
 
+def test_vectors_are_copied_to_no_blocks(spark):
+    """However many blocks meet, a vector is shuffled once: the blocks meet as they lie, with no grouping of copies."""
+    g = spark.range(300).select(F.col("id").alias("vec_id"), F.lit("dog").alias("species"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"))
+    found = vectors.in_blocks(g, g.withColumnRenamed("vec_id", "query_id"), "vec_id", (20, 10), lambda a, b: a.select(["vec_id"]).slice(0, 0) if not b.num_rows else a.select(["vec_id"]), "vec_id bigint")
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Generate" not in plan
+    blocks = {r.vec_id: r["count"] for r in found.groupBy("vec_id").count().collect()}
+    assert len(blocks) == 300 and 20 <= min(blocks.values()) == max(blocks.values()) <= 30
+
+
 def test_animals_whose_photos_tie_agree_with_the_sql(spark, tmp_path):
     """Four hundred copies of each vector: more photos tie than any fixed number would hold."""
     import duckdb
