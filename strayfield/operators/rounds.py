@@ -1,10 +1,11 @@
-"""Cutting lineage between the rounds of an iteration."""
+"""Cutting lineage between the rounds of an iteration, and blocks of two tables that all meet."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +45,33 @@ def numbered(d: DataFrame, group: str, order: str, name: str = "n") -> DataFrame
     own = F.row_number().over(Window.partitionBy("_range", group).orderBy(order)) - 1
     met = ranges.withColumn(name, own).join(starts, (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
     return met.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_of", "_group", "_start")
+
+
+def block_pairs(a: DataFrame, b: DataFrame, per_block: tuple[int, int], f, schema: str) -> DataFrame:
+    """``f`` (an Arrow function of two tables) on every pair of a block of ``a`` and one of ``b``. Each side is shuffled once, dealt in turn into blocks of about ``per_block``
+    rows; a task reads one block of each side from there. No side is copied for the other's blocks, and nothing passes through the driver."""
+    n, m = (max(1, -(-d.count() // size)) for d, size in zip((a, b), per_block, strict=True))
+    met = a.repartition(n).mapInArrow(_packed("left"), "left binary").join(b.repartition(m).mapInArrow(_packed("right"), "right binary").hint("shuffle_replicate_nl"))
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                found = f(*(pa.ipc.open_stream(v.as_buffer()).read_all() for v in (x, y)))
+                yield from found.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return met.mapInArrow(run, schema)
+
+
+def _packed(name: str):
+    """A partition's rows as one, an Arrow stream; an empty partition has none."""
+
+    def pack(batches):
+        t = [b for b in batches if b.num_rows]
+        if t:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, t[0].schema) as writer:
+                for b in t:
+                    writer.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    return pack

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import stored
+from .rounds import block_pairs, stored
 
 #: Rows of a block of gallery and of queries.
 PER_BLOCK = (65_536, 4096)
@@ -26,35 +26,8 @@ def l2_normalise(v: Column) -> Column:
 
 
 def in_blocks(gallery: DataFrame, queries: DataFrame, key: str, per_block: tuple[int, int], score, schema: str) -> DataFrame:
-    """``score`` (an Arrow function of a gallery block and a query block) on every pair of blocks. Each side is read once and shuffled once, by its ids, into blocks
-    of about ``per_block`` rows; a task reads one block of each side from there. No side is copied for the other's blocks, and nothing passes through the driver."""
-    g, q = (stored(d.where("embedding is not null"), "vectors") for d in (gallery, queries))
-    n, m = (max(1, -(-d.count() // size)) for d, size in zip((g, q), per_block, strict=True))
-    packed = lambda d, c, parts, name: d.repartition(parts, c).mapInArrow(_packed(name), f"{name} binary")
-    met = packed(g, key, n, "gallery").join(packed(q, "query_id", m, "queries").hint("shuffle_replicate_nl"))
-
-    def run(batches):
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                found = score(*(pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, b)))
-                yield from found.combine_chunks().to_batches(max_chunksize=10_000)
-
-    return met.mapInArrow(run, schema)
-
-
-def _packed(name: str):
-    """A partition's rows as one, an Arrow stream; an empty partition has none."""
-
-    def pack(batches):
-        t = [b for b in batches if b.num_rows]
-        if t:
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, t[0].schema) as writer:
-                for b in t:
-                    writer.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=[name])
-
-    return pack
+    """``score`` (an Arrow function of a gallery block and a query block) on every pair of blocks of about ``per_block`` rows."""
+    return block_pairs(*(stored(d.where("embedding is not null"), "vectors") for d in (gallery, queries)), per_block, score, schema)
 
 
 def kinds(gallery: DataFrame, queries: DataFrame, key: str) -> str:
