@@ -108,6 +108,22 @@ def test_lists_of_reports_are_copied_to_no_keys(spark, monkeypatch, bound):
     assert ("CartesianProduct" in plan) == (bound == 0) and "_salt" not in plan
 
 
+def test_buckets_are_counted_by_kinds(spark):
+    """As a listing of all pairs counts them, also in small blocks, with unknown dates and colours and dates at odd times of the day; and of rows that are alike no pairs are made."""
+    t, own = Tables(spark, SF), ("event_id", "n")
+    dated = F.when(F.col("n") % 17 > 0, F.when(F.col("n") % 2 == 0, F.col("created")).otherwise(F.col("created") + F.expr("INTERVAL 7 HOURS")))
+    i, r = t.v_intake.withColumn("event_id", F.col("event_id") % 9), t.v_lost_report.withColumns({"created": dated, "colors": F.when(F.col("n") % 13 > 0, F.col("colors")), "n": F.col("n") % 9})
+    seen, value = (lambda e, n: (e + n) % 3 == 0), (lambda e, n: (e * 7 + n * 13) % 10 / 10.0)
+    d = match.candidates(i, r, scores=True, own=("n",)).withColumn("visual_score", F.when(seen(F.col("event_id"), F.col("n")), value(F.col("event_id"), F.col("n"))))
+    score = match.sc.fused(*(F.col(f"{x}_score") for x in ("visual", "attribute", "geo", "recency")))
+    want = sorted(map(tuple, d.groupBy(sc.bucket(score)).count().collect()))
+    for size in ((8192, 2048), (100, 30)):
+        assert sorted(map(tuple, match.bucket_counts(i, r, own, seen, value, per_block=size).collect())) == want and len(want) == 3
+    i, r = alike(spark, 40_000, 20_000)
+    i, r = i.withColumn("event_id", F.lit(0)), r.withColumn("n", F.lit(1))
+    assert match.bucket_counts(i, r, own, seen, value).agg(F.sum("n")).first()[0] == 800_000_000
+
+
 def test_rounding_in_doubles(spark):
     for x, want in ((0.0, 0.0), (0.1234565, 0.123457), (0.4999999, 0.5), (0.25, 0.25), (1.0, 1.0), (None, None)):
         assert column(spark, x, "double", lambda c: sc.rounded(c, 6)) == want
