@@ -163,6 +163,18 @@ def test_best_is_the_head_of_all_candidates(spark, monkeypatch, bound):
     assert match.best(t.v_intake.where("false"), reports, now).count() == 0 == match.best(t.v_intake, reports.where("false"), now).count()
 
 
+def test_reports_without_visual_scores_take_no_more_of_a_list(spark, monkeypatch):
+    """One report has ten visual scores; the others' lists aren't longer for it."""
+    i, r = alike(spark, 50, 4)
+    visual = spark.range(10).select(F.lit("r0").alias("report_id"), F.col("id").cast("string").alias("canonical_id"), F.lit(0.1).alias("visual_score"))
+    whole, ranked = match.ranked, []
+    monkeypatch.setattr(match, "ranked", lambda d, *rest: ranked.append(d) or whole(d, *rest))
+    now = F.lit(datetime(2024, 1, 12))
+    assert match.best(i, r, now, 7, visual).groupBy("report_id").count().where("count = 7").count() == 4
+    lengths = {x.report_id: x["count"] for x in ranked[-1].groupBy("report_id").count().collect()}
+    assert {lengths[x] for x in ("r1", "r2", "r3")} == {7} and lengths["r0"] >= 17
+
+
 def test_placed_candidates_are_few_before_they_are_ranked(spark):
     """Of pairs in one place no more than a batch's best of each report go on to the ranking, and these are the right ones."""
     d = spark.range(1, 5001).select(
